@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, sentencepiece_codec, simhash
+from . import cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree
 from .common import table
 
 
@@ -19,6 +19,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = style_tree.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_lines(table(spark, sf_dir, "documents"))
     return marked.select(
@@ -33,12 +47,34 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.tokenize(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids", "decoded", "parity")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    found = kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_rules.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.size("license_sentences").cast("long").alias("n_sentences"),
+        F.array_join("license_sentences", ",").alias("sentences"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, docs.where(langid.learnable("doc_id")))
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op6_line_dedup, op7_sentencepiece, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_source_mixing, op3_embedding_near_dedup, op4_html_extraction, op5_merkle_fingerprints,
+        op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id,
+    )
+}
 
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": license_rules.oracle_sql()}
