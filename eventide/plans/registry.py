@@ -1,4 +1,4 @@
 """All registered queries and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import join_queries, metric_queries, window_queries  # noqa: F401
+from .common import ORACLES, QUERIES  # noqa: F401
