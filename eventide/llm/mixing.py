@@ -63,26 +63,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return ranked.withColumn("target", F.least("cap", F.col("weight") * level)).drop("cap")
 
 
+def _splitter(level: int, n: int, seed: int):
+    """Splits a node (of a level of the tree) n levels down; draws depend on the node and the seed alone."""
+
+    def split(node: pd.DataFrame) -> pd.DataFrame:
+        node = node.sort_values("sid")
+        sid, found = node["sid"].to_numpy(), {int(node["node"].iloc[0]): node["quota"].to_numpy(np.int64)}
+        for k in range(level, level + n):
+            below = {}
+            for at, quota in found.items():
+                draw = np.random.default_rng([seed, k, at])
+                left = draw.multivariate_hypergeometric(quota, int(quota.sum()) // 2, method="marginals")
+                below[2 * at], below[2 * at + 1] = left, quota - left
+            found = below
+        return pd.concat([pd.DataFrame({"node": at, "sid": sid, "quota": quota}) for at, quota in found.items()])
+
+    return split
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``(shard, sid, quota)`` from ``(sid, quota)``: exact per-source block quotas of ``shards`` (a power of two) shards."""
     depth = shards.bit_length() - 1
     nodes = quotas.select(F.lit(0).cast("long").alias("node"), "sid", "quota")
     for level in range(0, depth, LEVELS):
         n = min(LEVELS, depth - level)
-
-        def split(node: pd.DataFrame, level=level, n=n) -> pd.DataFrame:
-            node = node.sort_values("sid")
-            sid, found = node["sid"].to_numpy(), {int(node["node"].iloc[0]): node["quota"].to_numpy(np.int64)}
-            for k in range(n):
-                below = {}
-                for at, quota in found.items():
-                    draw = np.random.default_rng([seed, level + k, at])
-                    left = draw.multivariate_hypergeometric(quota, int(quota.sum()) // 2, method="marginals")
-                    below[2 * at], below[2 * at + 1] = left, quota - left
-                found = below
-            return pd.concat([pd.DataFrame({"node": at, "sid": sid, "quota": quota}) for at, quota in found.items()])
-
-        nodes = nodes.groupBy("node").applyInPandas(split, "node long, sid int, quota long")
+        nodes = nodes.groupBy("node").applyInPandas(_splitter(level, n, seed), "node long, sid int, quota long")
     return nodes.withColumnRenamed("node", "shard")
 
 
