@@ -26,7 +26,7 @@ from .common import bounded_batches, checkpointed
 
 ORDER = 5
 BOS = "\x02"
-#: Entries (24 bytes each) of one shard: what is sent to a task at once.
+#: Entries (24 bytes each) of one shard beside those of single characters and pairs: what is sent to a task at once.
 SHARD_ENTRIES = 4_000_000
 #: Languages are a short list of labels.
 MAX_LANGUAGES = 1024
@@ -82,8 +82,8 @@ def discounts(counts: DataFrame) -> DataFrame:
     """``(lang, d1, d2, d3)`` by the counts of counts 1 to 4; half of the count where they give none."""
     n1, n2, n3, n4 = (F.sum((F.col("c") == k).cast("double")) for k in (1, 2, 3, 4))
     n = counts.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    raw = lambda k, a, b: F.lit(float(k)) - (k + 1) * y * F.col(b) / F.col(a)
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+    raw = lambda k, a, b: F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(b), F.col(a))
     sane = lambda d, k: F.when((d > 0) & (d < k), d).otherwise(F.lit(k / 2))
     return n.select("lang", sane(raw(1, "n1", "n2"), 1).alias("d1"), sane(raw(2, "n2", "n3"), 2).alias("d2"), sane(raw(3, "n3", "n4"), 3).alias("d3"))
 
@@ -180,7 +180,8 @@ class Shard:
 
 
 def place(model: DataFrame, languages: list[str], shards: int) -> DataFrame:
-    """``(shard, key, logp, logb)``: n-grams hashed and dealt to the shards; those of one or two characters go to all."""
+    """``(shard, key, logp, logb, long)``: n-grams hashed and dealt to the shards; those of one or
+    two characters (at most the pairs of characters in use) go to all and are not long."""
     seeds = {lang: i + 2 for i, lang in enumerate(languages)}
 
     def run(batches):
@@ -189,7 +190,7 @@ def place(model: DataFrame, languages: list[str], shards: int) -> DataFrame:
             for k, rows in frame.groupby("k"):
                 points = np.frombuffer("".join(rows["gram"]).encode("utf-32-le", "replace"), np.uint32).reshape(-1, k)
                 keys = _hash([points[:, j] for j in range(k)], rows["lang"].map(seeds).to_numpy(np.uint64)) | np.uint64(1)
-                out = pd.DataFrame({"key": keys.view(np.int64), "logp": rows["logp"].to_numpy(), "logb": rows["logb"].to_numpy()})
+                out = pd.DataFrame({"key": keys.view(np.int64), "logp": rows["logp"].to_numpy(), "logb": rows["logb"].to_numpy(), "long": k > 2})
                 if k < 3:
                     placed = [out.assign(shard=s) for s in range(shards)]
                 else:
@@ -198,9 +199,9 @@ def place(model: DataFrame, languages: list[str], shards: int) -> DataFrame:
                     context = out.assign(shard=_shard_key(points[:, -2], points[:, -1], shards), logp=np.nan)[rows["logb"].notna().to_numpy()]
                     same = context["shard"].to_numpy() == gram["shard"].to_numpy()[rows["logb"].notna().to_numpy()]
                     placed = [gram, context[~same]]
-                yield pa.RecordBatch.from_pandas(pd.concat(placed)[["shard", "key", "logp", "logb"]].astype({"shard": "int32"}), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.concat(placed)[["shard", "key", "logp", "logb", "long"]].astype({"shard": "int32"}), preserve_index=False)
 
-    return model.where("k > 0").select("lang", "k", "gram", "logp", "logb").mapInArrow(run, "shard int, key long, logp double, logb double")
+    return model.where("k > 0").select("lang", "k", "gram", "logp", "logb").mapInArrow(run, "shard int, key long, logp double, logb double, long boolean")
 
 
 def score(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -209,15 +210,16 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: s
     floors = {r["lang"]: r["logp"] for r in model.where("k = 0").collect()}  # one row for each language
     if len(floors) > MAX_LANGUAGES:
         raise ValueError(f"{len(floors)} languages; the label set is bounded by {MAX_LANGUAGES}")
-    shards = 1
+    shards, largest = 1, float("inf")
     while True:
         placed = checkpointed(place(model, sorted(floors), shards))
-        if (placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0) <= shard_entries:
+        before, largest = largest, placed.where("long").groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+        if largest <= shard_entries or largest >= before:  # no smaller once each pair of characters is a shard of its own
             break
         shards *= 2
     out = docs.withColumn("_log_prob", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
     for number in range(shards):
-        t = placed.where(F.col("shard") == number).select("key", "logp", "logb").toArrow()  # at most shard_entries rows
+        t = placed.where(F.col("shard") == number).select("key", "logp", "logb").toArrow()  # shard_entries rows and the short n-grams at most
         packed = (uuid.uuid4().hex, number, shards, t.column("key").to_numpy().view(np.uint64), t.column("logp").to_numpy(), t.column("logb").to_numpy(), floors)
         found = _score_with(spark.sparkContext.broadcast(packed), F.col(text_col), F.col(lang_col))
         out = out.withColumn("_s", found).withColumn("_log_prob", F.col("_log_prob") + F.col("_s.log_prob")).withColumn("_n", F.col("_n") + F.col("_s.n")).drop("_s")
@@ -276,7 +278,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     figures and their documents are kept: nothing speaks against them. Null ids
     are never trusted; repeated rows get equal answers; no rows give no rows.
     """
-    bounded_batches(docs.sparkSession, rows=2_000, mb=8)
+    bounded_batches(docs.sparkSession, rows=1_000, mb=2)
     names = [c for c in docs.columns if c not in ("perplexity", "threshold", "keep")]
     ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
     chosen = docs.join(ids, docs[id_col] == ids["_trusted"], "left_semi")
