@@ -92,7 +92,9 @@ RULES = [
 
 IDENTIFIERS = list(SENTENCES)
 #: Ends of sentences; in running text a single line feed is a blank.
-SENTENCE_END = r"([.!?:;])[ \t\r\n]+"
+SENTENCE_END = r"([.!?;])[ \t\r\n]+"
+#: ... and a colon at the end of a line.
+COLON_END = ":[ \t\r]*\n"
 #: Longest normalised sentence known: raw ones over four times that can't be one.
 LONGEST = max(map(len, SENTENCES.values()))
 
@@ -136,7 +138,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
-    prose = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "$1\u0001"), "\n[ \t\r]*\n", "\u0001"), "\n", " "), "\u0001")
+    prose = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "$1\u0001"), f"\n[ \t\r]*\n|{COLON_END}", "\u0001"), "\n", " "), "\u0001")
     out = docs.withColumn("_lines", identifiers(lines)).withColumn("_prose", identifiers(prose))
     any_known = (F.size("_lines") > 0) | (F.size("_prose") > 0)
     both = F.when(any_known, F.array_sort(F.array_union(match_rules(_sequence(F.col("_lines"))), match_rules(_sequence(F.col("_prose")))))).otherwise(F.array().cast("array<string>"))
@@ -163,9 +165,9 @@ def oracle_sql() -> str:
     return f"""
 WITH known AS (SELECT * FROM (VALUES {values}) v(sentence, num)),
 raw AS (
-  SELECT doc_id, 1 AS reading, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
+  SELECT doc_id, 1 AS reading, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
   UNION ALL
-  SELECT doc_id, 2, string_split(replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(10), ' '), chr(1)) FROM documents),
+  SELECT doc_id, 2, string_split(replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n|:[ \\t\\r]*\\n', chr(1), 'g'), chr(10), ' '), chr(1)) FROM documents),
 sentences AS (SELECT doc_id, reading, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS pos FROM raw),
 hits AS (
   SELECT doc_id, reading, pos, num FROM (
