@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000, mb: int = 8) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 500, mb: int = 2) -> None:
     """Bound the Arrow batches that Python workers get, in rows and bytes: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

@@ -88,8 +88,8 @@ class LanguageFilter:
 
     def __init__(self, languages: list[str], words: np.ndarray):
         self.languages, self.words = languages, words
-        bits = np.unpackbits(words.view(np.uint8).reshape(len(words), -1, 8), axis=2, bitorder="little") if len(languages) else np.zeros((0, 1, 64), np.uint8)
-        self.false_rate = bits.mean(axis=1).reshape(-1)[: len(languages)] ** 2
+        filled = [float((words[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) for i in range(len(languages))]
+        self.false_rate = np.array(filled) ** 2
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the language that holds most of the text's n-grams, and the share it holds, both corrected for false positives."""

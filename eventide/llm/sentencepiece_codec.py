@@ -192,7 +192,7 @@ def tokenize(docs: DataFrame, text_col: str = "text", path: str | None = None) -
     so don't decode to themselves: decoded is false then. Whole texts are
     encoded, whatever their length; every row goes through both libraries.
     """
-    bounded_batches(docs.sparkSession, rows=500, mb=4)
+    bounded_batches(docs.sparkSession, rows=128, mb=1)
     out = docs.withColumn("_codec", codec(F.col(text_col), path or default_model()))
     new = ("ids", "n_tokens", "decoded", "parity")
     names = [f"`{c}`" for c in docs.columns if c not in new]
