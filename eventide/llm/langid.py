@@ -156,7 +156,8 @@ def identify(model: LanguageFilter, text: Column, docs: DataFrame) -> Column:
         found = _model(sent)
         return pd.DataFrame([found.predict(x) for x in texts], columns=["lang", "score"])
 
-    return predictions(text)
+    # called nondeterministic so that a filter on its answer doesn't run it a second time
+    return predictions.asNondeterministic()(text)
 
 
 _models: dict[str, LanguageFilter] = {}
