@@ -19,6 +19,8 @@ MAX_SHARE = 0.5
 #: Estimates within this share of the threshold are counted exactly.
 MARGIN = 0.25
 LG_K = 12
+#: Parts that a line's occurrences are dealt to before they meet in its sketch.
+SALTS = 16
 
 
 def split_lines(text: Column) -> Column:
@@ -51,16 +53,23 @@ def _keys(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.hash(*columns).alias("k2")]
 
 
+def _of_hashes(lines: DataFrame, hashes: DataFrame) -> DataFrame:
+    """lines ``(h, salt, ...)`` with one of the hashes ``(h)``: a hot line's rows are dealt to SALTS parts."""
+    salted = hashes.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return lines.join(salted, ["h", "salt"], "left_semi")
+
+
 def spread_lines(docs: DataFrame, text_col: str = "text", source_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``(h, sites, exact)`` of the lines on at least ``min_sites`` sites."""
-    lines = lines_of(docs, text_col, source_col).select("h", "site").where("site IS NOT NULL")
+    lines = lines_of(docs, text_col, source_col).select("h", "site", F.pmod(F.col("k1"), F.lit(SALTS)).alias("salt")).where("site IS NOT NULL")
     # a line seen less often than min_sites, or on one site only, can't reach the threshold
-    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1")).where((F.col("n") >= min_sites) & ((F.col("s0") != F.col("s1")) | F.lit(min_sites <= 1))).select("h")
-    lines = lines.join(often, "h", "left_semi")
-    sketched = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("estimate"))
+    often = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1")).where((F.col("n") >= min_sites) & ((F.col("s0") != F.col("s1")) | F.lit(min_sites <= 1)))
+    lines = _of_hashes(lines, often)
+    parts = lines.groupBy("h", "salt").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    sketched = parts.groupBy("h").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
     sure = sketched.where(F.col("estimate") > min_sites * (1 + MARGIN)).select("h", F.col("estimate").cast("long").alias("sites"), F.lit(False).alias("exact"))
     near = sketched.where((F.col("estimate") <= min_sites * (1 + MARGIN)) & (F.col("estimate") >= min_sites * (1 - MARGIN))).select("h")
-    counted = lines.join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    counted = _of_hashes(lines, near).select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.unionByName(counted.withColumn("exact", F.lit(True)))
 
 
@@ -74,8 +83,7 @@ def mark_lines(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
     """
     wide = spread_lines(docs, text_col, source_col, min_sites).select("h")
     hits = (
-        lines_of(docs, text_col, source_col)
-        .join(wide, "h", "left_semi")
+        _of_hashes(lines_of(docs, text_col, source_col).withColumn("salt", F.pmod(F.col("k1"), F.lit(SALTS))), wide)
         .groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_set("pos")).alias("removed_lines"), F.sum("chars").alias("_chars"), F.count("*").alias("_n"))
         # repeated rows share a key: their hits count once for each row
