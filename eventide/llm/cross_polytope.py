@@ -28,6 +28,10 @@ THRESHOLD = 0.98
 TABLES = 8
 HASHES = 2
 PROBES = 2
+#: Bucket codes are taken modulo this; buckets that meet by it cost time only, as candidates are verified.
+CODES = 2**31 - 1
+#: Groups of up to so many rows are compared pair by pair in one go, larger ones as a matrix product each.
+SMALL = 48
 #: Vectors of a bucket that one block holds.
 BLOCK = 512
 SEED = 11
@@ -77,11 +81,11 @@ def bucket_codes(vectors: np.ndarray) -> np.ndarray:
             for h in range(HASHES):
                 code = code * (2 * size) + np.where((swap == h) & (probe == 1), other[h], own[h])
             out[:, t, probe] = code
-    return out.reshape(n, TABLES * PROBES)
+    return (out % CODES).astype(np.int32).reshape(n, TABLES * PROBES)
 
 
 def codes(vector: Column) -> Column:
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def run(vectors: pd.Series) -> pd.Series:
         out = np.empty(len(vectors), object)
         lengths = vectors.map(len).to_numpy()
@@ -102,44 +106,68 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & some, F.lit(False))
 
 
-def _meet_first(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
-    """For pairs of code rows, if this bucket is the first (by table, then by code) that both are in."""
+def _meet_first(a: np.ndarray, b: np.ndarray, table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For pairs of code rows, if their bucket is the first (by table, then by code) that both are in."""
     a, b = a.reshape(len(a), TABLES, PROBES), b.reshape(len(b), TABLES, PROBES)
     first = np.ones(len(a), bool)
-    for t in range(table):
+    for t in range(int(table.max()) if len(table) else 0):
+        later = table > t
         for p in range(PROBES):
             for q in range(PROBES):
-                first &= a[:, t, p] != b[:, t, q]
+                first &= ~later | (a[:, t, p] != b[:, t, q])
+    rows = np.arange(len(a))
     for p in range(PROBES):
         for q in range(PROBES):
-            first &= (a[:, table, p] != b[:, table, q]) | (a[:, table, p] >= code)
+            first &= (a[rows, table, p] != b[rows, table, q]) | (a[rows, table, p] >= code)
     return first
 
 
-def compare(ids: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, members: np.ndarray, blocks: np.ndarray, low: int, high: int, table: int, code: int, threshold: float):
-    """Links within a bucket's block (low == high) or between two: (links of each member, edges of a forest over them)."""
-    left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-    links = np.zeros(len(ids), np.int64)
-    parent = np.arange(len(ids))
-    if not len(left) or not len(right):
-        return links, parent
-    near = vectors[left] @ vectors[right].T >= threshold
-    if low == high:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    i, j = left[i], right[j]
-    first = _meet_first(members[i], members[j], table, code)
-    i, j = i[first], j[first]
-    np.add.at(links, i, sizes[j])
-    np.add.at(links, j, sizes[i])
-    while len(i):  # hooking and pointer jumping
-        a, b = parent[i], parent[j]
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(parent, parent[parent]):
-            parent = parent[parent]
-    return links, parent
+def near_pairs(unit: np.ndarray, lengths: np.ndarray, block: np.ndarray, cross: np.ndarray, threshold: float):
+    """Row pairs (i, j) of equal groups with cosine at the threshold or above. Groups are
+    stretches of the given lengths; those of two blocks (cross) pair rows of different blocks only."""
+    ends = np.cumsum(lengths)
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, end in zip((ends - lengths)[lengths > SMALL].tolist(), ends[lengths > SMALL].tolist(), strict=True):
+        near = unit[start:end] @ unit[start:end].T >= threshold
+        i, j = np.nonzero(np.triu(near, 1))
+        found_i.append(i + start)
+        found_j.append(j + start)
+    left = np.where(np.repeat(lengths, lengths) <= SMALL, np.repeat(ends, lengths) - np.arange(len(unit)) - 1, 0)  # partners after a row
+    i = np.repeat(np.arange(len(unit)), left)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+    for part in np.array_split(np.arange(len(i)), max(1, len(i) // 100_000)):
+        near = np.einsum("ij,ij->i", unit[i[part]], unit[j[part]]) >= threshold
+        found_i.append(i[part][near])
+        found_j.append(j[part][near])
+    i, j = np.concatenate(found_i), np.concatenate(found_j)
+    apart = ~cross[i] | (block[i] != block[j])
+    return i[apart], j[apart]
+
+
+def compare(chunk: pa.Table, lengths: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Links within the groups of a chunk: ``(class, links, root)`` of the rows that have any; roots make a forest over them."""
+    ids, sizes, block = (chunk.column(c).to_numpy() for c in ("class", "n", "block"))
+    raw = np.frombuffer(b"".join(chunk.column("vector").to_pylist()), np.float32).reshape(len(ids), -1).astype(np.float64)
+    raw /= np.abs(raw).max(axis=1, keepdims=True)
+    unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
+    codes = np.frombuffer(b"".join(chunk.column("codes").to_pylist()), np.int32).reshape(len(ids), -1)
+    cross = chunk.column("low").to_numpy() != chunk.column("high").to_numpy()
+    i, j = near_pairs(unit, lengths, block, cross, threshold)
+    table, code = chunk.column("table").to_numpy()[i], chunk.column("code").to_numpy()[i]
+    links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for part in np.array_split(np.arange(len(i)), max(1, len(i) // 200_000)):
+        first = part[_meet_first(codes[i[part]], codes[j[part]], table[part], code[part])]
+        a, b = i[first], j[first]
+        links += np.bincount(a, sizes[b], len(ids)).astype(np.int64) + np.bincount(b, sizes[a], len(ids)).astype(np.int64)
+        while len(a):  # hooking and pointer jumping
+            x, y = parent[a], parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(parent, parent[parent]):
+                parent = parent[parent]
+    some = links > 0
+    return pa.RecordBatch.from_pydict({"class": ids[some], "links": links[some], "root": ids[parent[some]]})
 
 
 SCHEMA = "class long, links long, root long"
@@ -147,52 +175,48 @@ KEYS = ("label", "dim", "table", "code", "low", "high")
 
 
 def _walk(threshold: float):
-    """Arrow batches sorted by KEYS to rows (class, links, root): one bucket block pair at a time, however batches cut them."""
+    """Arrow batches sorted by KEYS to rows (class, links, root): whole groups at a time, however batches cut them."""
 
     def run(batches):
-        held: list[pa.Table] = []
-
-        def close(pieces):
-            t = pa.concat_tables(pieces)
-            key = {k: t.column(k)[0].as_py() for k in KEYS}
-            ids, sizes = t.column("class").to_numpy(), t.column("n").to_numpy()
-            unit = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
-            members = np.stack(t.column("codes").to_numpy())
-            links, parent = compare(ids, sizes, unit, members, t.column("block").to_numpy(), key["low"], key["high"], key["table"], key["code"], threshold)
-            some = links > 0
-            return pa.RecordBatch.from_pydict({"class": ids[some], "links": links[some], "root": ids[parent[some]]})
-
+        held = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            marks = np.zeros(max(0, len(t) - 1), bool)
-            for k in KEYS:
-                values = t.column(k).to_numpy()
-                marks |= values[1:] != values[:-1]
-            cuts = [0, *(np.flatnonzero(marks) + 1).tolist(), len(t)]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                piece = t.slice(start, end - start)
-                if held and any(held[0].column(k)[0] != piece.column(k)[0] for k in KEYS):
-                    if sum(map(len, held)) > 1:
-                        yield close(held)
-                    held = []
-                held.append(piece)
-        if sum(map(len, held)) > 1:
-            yield close(held)
+            chunk = pa.Table.from_batches([batch])
+            chunk = pa.concat_tables([held, chunk]) if held is not None else chunk
+            starts = _group_starts(chunk)
+            held = chunk.slice(starts[-1])  # the last group may go on
+            if len(starts) > 1:
+                yield from _by_dim(chunk.slice(0, starts[-1]), starts, threshold)
+        if held is not None and len(held) > 1:
+            yield from _by_dim(held, np.array([0, len(held)]), threshold)
 
     return run
 
 
-def unit_vector(vector: Column) -> Column:
-    """The vector over its norm, as the bytes of doubles."""
+def _group_starts(chunk: pa.Table) -> np.ndarray:
+    marks = np.ones(len(chunk), bool)
+    marks[1:] = False
+    for k in KEYS:
+        values = chunk.column(k).to_numpy()
+        marks[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(marks)
+
+
+def _by_dim(chunk: pa.Table, bounds: np.ndarray, threshold: float):
+    """Compare the groups between bounds, vectors of one length at a time."""
+    dims = chunk.column("dim").to_numpy()
+    bounds = np.unique(np.append(bounds[bounds < len(chunk)], len(chunk)))
+    cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(chunk)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        inner = bounds[(bounds >= start) & (bounds <= end)]
+        yield compare(chunk.slice(start, end - start), np.diff(inner), threshold)
+
+
+def packed(vector: Column) -> Column:
+    """The vector as the bytes of its floats."""
 
     @F.pandas_udf("binary")
     def run(vectors: pd.Series) -> pd.Series:
-        def one(x) -> bytes:
-            x = np.asarray(x, np.float64)
-            x = x / np.abs(x).max()
-            return (x / np.sqrt(x @ x)).tobytes()
-
-        return vectors.map(one)
+        return vectors.map(lambda x: np.asarray(x, np.float32).tobytes())
 
     return run(vector)
 
@@ -200,18 +224,26 @@ def unit_vector(vector: Column) -> Column:
 def candidate_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(class, links, root)`` rows over classes ``(class, n, label, vector)``: links of a
     class in one bucket block pair (in vectors, other classes only), and an edge to a class it is connected with there."""
-    hashed = classes.select("class", "n", "label", F.size("vector").alias("dim"), codes(F.col("vector")).alias("codes"), unit_vector(F.col("vector")).alias("vector"))
-    hashed = checkpointed(hashed)
-    spread = hashed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(TABLES * PROBES - 1))))
-    entries = spread.withColumn("table", F.floor(F.col("slot") / PROBES).cast("int")).withColumn("code", F.element_at("codes", F.col("slot") + 1))
+    hashed = checkpointed(classes.select("class", "n", "label", F.size("vector").alias("dim"), codes(F.col("vector")).alias("codes"), packed(F.col("vector")).alias("vector")))
+    slots = hashed.select("class", "label", "dim", F.posexplode("codes").alias("slot", "code"))
+    slots = slots.withColumn("table", F.floor(F.col("slot") / PROBES).cast("int")).drop("slot")
     bucket = ["label", "dim", "table", "code"]
-    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    entries = entries.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sizes = slots.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
+    entries = slots.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     entries = entries.withColumn("block", F.pmod(F.xxhash64("class", F.lit(SEED)), F.col("blocks")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    dealt = entries.select(*KEYS, "class", "n", "block", "codes", "vector").repartition(*KEYS).sortWithinPartitions(*KEYS, "class")
-    return dealt.mapInArrow(_walk(threshold), SCHEMA)
+    payload = hashed.select("class", "n", code_bytes(F.col("codes")).alias("codes"), "vector")
+    dealt = entries.select(*KEYS, "class", "block").join(payload, "class")
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "class").mapInArrow(_walk(threshold), SCHEMA)
+
+
+def code_bytes(codes: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: np.asarray(x, np.int32).tobytes())
+
+    return run(codes)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
