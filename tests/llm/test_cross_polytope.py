@@ -86,3 +86,15 @@ def test_query(spark, sf):
     want = brute([r.vec_id for r in rows], [r.embedding for r in rows], [r.label for r in rows])
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op3_embedding_near_dedup(spark, sf).collect()}
     assert got == want
+
+
+def test_groups_of_any_cut_are_walked_whole(spark, monkeypatch):
+    """Arrow batches of a few rows cut every group."""
+    monkeypatch.setattr(cross_polytope, "SMALL", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        vectors = planted(200)
+        check(spark, vectors, [i % 2 for i in range(len(vectors))], 0.98)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
