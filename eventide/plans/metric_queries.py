@@ -197,7 +197,7 @@ def share_within(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_brand, p_retailprice AS v, row_number() OVER u AS n0, sum(p_retailprice) OVER u AS s0, count(*) OVER w AS n, sum(p_retailprice) OVER w AS s, max(p_retailprice) OVER w - min(p_retailprice) OVER w AS span FROM part
   WINDOW u AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY p_brand))
-SELECT p_brand, round(4 * max(n0 * (n - n0) / (n * n) * (s0 / n0 - (s - s0) / nullif(n - n0, 0)) ** 2) / any_value(span) ** 2, 6) AS separation FROM p GROUP BY p_brand""")
+SELECT p_brand, CASE WHEN any_value(n) >= 6 AND any_value(span) > 0 THEN round(4 * max(n0 * (n - n0) / (n * n) * (s0 / n0 - (s - s0) / nullif(n - n0, 0)) ** 2) / any_value(span) ** 2, 6) ELSE 0e0 END AS separation FROM p GROUP BY p_brand""")
 def split_separation(spark: SparkSession, sf: str) -> DataFrame:
     found = metrics.otsu_separation(table(spark, sf, "part"), ["p_brand"], "p_retailprice")
     return found.select("p_brand", F.round("separation", 6).alias("separation"))
