@@ -42,6 +42,9 @@ def test_pages_give_their_articles(spark, sf):
         ("<article><p>unclosed <i>it", "unclosed it"),
         ("<article>1 < 2 and 3 > 2</article>", "1 < 2 and 3 > 2"),
         ("<header>h</header><p>t</p><nav>n</nav>", "t"),
+        ("<article class='post has-comments'><p>body</p><section class=comments><article class=comment><p>c</p></article></section></article>", "body"),
+        ("<div class=sidebar><article><p>teaser</p></article></div><article><p>the longer story</p></article>", "the longer story"),
+        ("<main><article><p>a</p></article><article class='related teaser'><p>r</p></article></main>", "a"),
     ],
 )
 def test_extract(page, want):
