@@ -33,7 +33,7 @@ MAX_COPIES = 500_000_000
 #: Levels of the tree that one grouped task splits.
 LEVELS = 3
 #: Documents of one source and hash range that one task orders.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 PRIMES = (1_000_003, 998_244_353, 754_974_721)
 
 
@@ -123,8 +123,8 @@ def spans(placed: DataFrame, sources: DataFrame, block: int, seed: int = SEED) -
     dealt = leaves.withColumn("until", until).where("quota > 0").select("shard", "sid", F.explode(F.sequence(F.col("until") - F.col("quota"), F.col("until") - 1)).alias("copy"))
 
     b = F.lit(block)
-    first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
-    parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+    parts = placed.where("size > 0").withColumn("block", F.explode(blocks))
     full_blocks = F.col("n_blocks") - 1  # the last block may be short: it comes last in every pass
     step = F.coalesce(*[F.when(full_blocks % p != 0, F.lit(p)) for p in PRIMES], F.lit(1)).cast("long")
     rank = F.when(F.col("block") >= full_blocks, full_blocks).otherwise((F.col("block") * step + F.lit(seed)) % F.greatest(full_blocks, F.lit(1)))
@@ -140,7 +140,8 @@ def spans(placed: DataFrame, sources: DataFrame, block: int, seed: int = SEED) -
     parts = parts.withColumn("copy", F.col("pass") * F.col("n_blocks") + F.col("rank"))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "sid", "copy"), "sid", "copy", "start")
     columns = ("sid", "pass", "id", "row_key", "start", "size", "first_word", "n_words")
-    return parts.join(dealt, ["sid", "copy"]).select("shard", F.row_number().over(shuffled).alias("position"), *columns)
+    # as many rows as block copies, which the planner can't tell from the few quotas they come from: never broadcast
+    return parts.join(dealt.hint("merge"), ["sid", "copy"]).select("shard", F.row_number().over(shuffled).alias("position"), *columns)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
