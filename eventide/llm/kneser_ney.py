@@ -14,6 +14,7 @@ documents that were held out of training.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,14 @@ from .common import bounded_batches, checkpointed
 
 ORDER = 5
 BOS = "\x02"
-#: Entries (24 bytes each) of one shard beside those of single characters and pairs: what is sent to a task at once.
+#: Entries (16 bytes each) of one shard beside those of single characters and pairs: what is sent to a task at once.
 SHARD_ENTRIES = 4_000_000
+#: Distinct n-grams that a task holds before it passes them on.
+HELD_GRAMS = 400_000
+#: Trusted ids are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 2_000_000
+#: N-grams that a task looks up in one go.
+CHUNK = 100_000
 #: Languages are a short list of labels.
 MAX_LANGUAGES = 1024
 #: A document is kept up to SLACK times this quantile of its language's held-out trusted perplexities.
@@ -58,9 +65,14 @@ def _points(text: str) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``(lang, gram, c)``: occurrences of every n-gram of the highest order, pre-aggregated in the tasks."""
+    """``(lang, gram, c)``: occurrences of every n-gram of the highest order, pre-aggregated over a task's batches."""
+
+    def rows_of(held: dict[str, Counter]):
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "gram": pa.array(list(counts), pa.string()), "c": pa.array(list(counts.values()), pa.int64())})
 
     def count(batches):
+        held: dict[str, Counter] = {}
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -71,53 +83,60 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 grams = np.concatenate(found)
                 _, first, n = np.unique(_hash([grams[:, k] for k in range(ORDER)], 0), return_index=True, return_counts=True)
                 texts = grams[first].astype("<u4").tobytes().decode("utf-32-le")
-                rows = [texts[i : i + ORDER] for i in range(0, len(texts), ORDER)]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(rows), pa.string()), "gram": pa.array(rows, pa.string()), "c": pa.array(n, pa.int64())})
+                counts = held.setdefault(lang, Counter())
+                for i, c in enumerate(n.tolist()):
+                    counts[texts[ORDER * i : ORDER * (i + 1)]] += c
+            if sum(map(len, held.values())) > HELD_GRAMS:
+                yield from rows_of(held)
+                held = {}
+        yield from rows_of(held)
 
     chosen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def all_counts(counts: DataFrame) -> DataFrame:
+    """``(lang, k, gram, c)`` of every order: the highest as counted, lower ones by the distinct characters before them."""
+    ends = F.explode(F.array(*[F.expr(f"right(gram, {m})") for m in range(2, ORDER)]))
+    types = counts.select("lang", ends.alias("gram")).distinct().union(counts.select("lang", "gram"))
+    lower = types.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
+    return counts.select("lang", F.lit(ORDER).alias("k"), "gram", "c").union(lower.select("lang", F.length("gram").alias("k"), "gram", "c"))
+
+
 def discounts(counts: DataFrame) -> DataFrame:
-    """``(lang, d1, d2, d3)`` by the counts of counts 1 to 4; half of the count where they give none."""
+    """``(lang, k, d1, d2, d3)`` by the counts of counts 1 to 4; half of the count where they give none."""
     n1, n2, n3, n4 = (F.sum((F.col("c") == k).cast("double")) for k in (1, 2, 3, 4))
-    n = counts.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    n = counts.groupBy("lang", "k").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
     y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
     raw = lambda k, a, b: F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(b), F.col(a))
     sane = lambda d, k: F.when((d > 0) & (d < k), d).otherwise(F.lit(k / 2))
-    return n.select("lang", sane(raw(1, "n1", "n2"), 1).alias("d1"), sane(raw(2, "n2", "n3"), 2).alias("d2"), sane(raw(3, "n3", "n4"), 3).alias("d3"))
+    return n.select("lang", "k", sane(raw(1, "n1", "n2"), 1).alias("d1"), sane(raw(2, "n2", "n3"), 2).alias("d2"), sane(raw(3, "n3", "n4"), 3).alias("d3"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(lang, k, gram, logp, logb)``: interpolated log-probability of every seen n-gram
     of every order, and the log back-off weight of the n-gram as a context (null if it is none).
     The empty n-gram (k = 0) holds the probability of an unseen character."""
-    counts = checkpointed(gram_counts(docs, text_col, lang_col))
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before it
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-    below, weights, model = None, {}, []
-    for k in range(1, ORDER + 1):
-        rows = levels[k].join(F.broadcast(discounts(levels[k])), "lang")  # at most MAX_LANGUAGES rows
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = Window.partitionBy("lang", "context")  # as many rows as characters follow a context
-        rows = rows.withColumn("d", d).withColumn("context", F.substring("gram", 1, k - 1))
-        rows = rows.withColumn("total", F.sum("c").over(own)).withColumn("back", F.sum("d").over(own) / F.col("total"))
-        if k == 1:
-            rows = rows.withColumn("low", 1 / (F.count("*").over(own) + 1))
-            model.append(rows.groupBy("lang").agg(F.first(F.log(F.col("back") * F.col("low"))).alias("logp")).select("lang", F.lit(0).alias("k"), F.lit("").alias("gram"), "logp"))
-        else:
-            low = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
-            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(low, ["lang", "suffix"])
-        rows = rows.withColumn("p", (F.col("c") - F.col("d")) / F.col("total") + F.col("back") * F.col("low"))
-        below = checkpointed(rows.select("lang", "gram", "context", "p", "back"))
-        weights[k] = below.select("lang", F.col("context").alias("gram"), F.log("back").alias("logb")).distinct() if k > 1 else None
-        model.append(below.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp")))
-    out = model[0].withColumn("logb", F.lit(None).cast("double"))
-    for k in range(1, ORDER + 1):
-        level = model[k]
-        out = out.union(level.join(weights[k + 1], ["lang", "gram"], "full").select("lang", F.lit(k).alias("k"), "gram", "logp", "logb") if k < ORDER else level.withColumn("logb", F.lit(None).cast("double")))
-    return out
+    counts = checkpointed(all_counts(gram_counts(docs, text_col, lang_col)))
+    rows = counts.join(F.broadcast(discounts(counts)), ["lang", "k"])  # ORDER rows for each of MAX_LANGUAGES
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = Window.partitionBy("lang", "context")  # as many rows as characters follow a context
+    rows = rows.select("lang", "k", "gram", "c", d.alias("d"), F.expr("substring(gram, 1, k - 1)").alias("context"))
+    rows = rows.withColumn("total", F.sum("c").over(own)).withColumn("back", F.sum("d").over(own) / F.col("total")).withColumn("n", F.count("*").over(own))
+    rows = checkpointed(rows.select("lang", "k", "gram", "context", ((F.col("c") - F.col("d")) / F.col("total")).alias("part"), "back", "n"))
+    level = rows.where("k = 1").withColumn("low", 1 / (F.col("n") + 1))
+    unseen = level.groupBy("lang").agg(F.first(F.log(F.col("back") * F.col("low"))).alias("logp"))
+    p = F.col("part") + F.col("back") * F.col("low")
+    below = level.select("lang", "gram", p.alias("p"))
+    scored = below
+    for k in range(2, ORDER + 1):
+        low = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+        joined = rows.where(F.col("k") == k).withColumn("suffix", F.expr("substring(gram, 2)")).join(low, ["lang", "suffix"])
+        below = joined.select("lang", "gram", p.alias("p"))
+        scored = scored.union(below)
+    backs = rows.where("k > 1").groupBy("lang", F.col("context").alias("gram")).agg(F.first(F.log("back")).alias("logb"))
+    out = scored.select("lang", "gram", F.log("p").alias("logp")).join(backs, ["lang", "gram"], "full").select("lang", F.length("gram").alias("k"), "gram", "logp", "logb")
+    return out.union(unseen.select("lang", F.lit(0).alias("k"), F.lit("").alias("gram"), "logp", F.lit(None).cast("double").alias("logb")))
 
 
 def _shard_key(before: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
@@ -132,7 +151,7 @@ class Shard:
         self.seeds = {lang: i + 2 for i, lang in enumerate(sorted(floors))}
         size = 1 << max(4, (2 * len(keys)).bit_length())
         self.mask = np.uint64(size - 1)
-        self.keys, self.logp, self.logb = np.zeros(size, np.uint64), np.full(size, np.nan, np.float64), np.full(size, np.nan, np.float64)
+        self.keys, self.logp, self.logb = np.zeros(size, np.uint64), np.full(size, np.nan, np.float32), np.full(size, np.nan, np.float32)
         at, left = keys & self.mask, np.arange(len(keys))
         while len(left):
             free = left[self.keys[at[left]] == 0]
@@ -201,30 +220,37 @@ def place(model: DataFrame, languages: list[str], shards: int) -> DataFrame:
                     placed = [gram, context[~same]]
                 yield pa.RecordBatch.from_pandas(pd.concat(placed)[["shard", "key", "logp", "logb", "long"]].astype({"shard": "int32"}), preserve_index=False)
 
-    return model.where("k > 0").select("lang", "k", "gram", "logp", "logb").mapInArrow(run, "shard int, key long, logp double, logb double, long boolean")
+    return model.select("lang", "k", "gram", "logp", "logb").mapInArrow(run, "shard int, key long, logp double, logb double, long boolean")
 
 
-def score(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """docs with ``n_scored`` (characters) and ``log_prob`` (natural), null where the language has no model."""
-    spark = docs.sparkSession
+def packed_shards(model: DataFrame, shard_entries: int = SHARD_ENTRIES) -> list[tuple]:
+    """The model's shards, each of ``shard_entries`` n-grams and the short ones at most."""
     floors = {r["lang"]: r["logp"] for r in model.where("k = 0").collect()}  # one row for each language
     if len(floors) > MAX_LANGUAGES:
         raise ValueError(f"{len(floors)} languages; the label set is bounded by {MAX_LANGUAGES}")
     shards, largest = 1, float("inf")
     while True:
-        placed = checkpointed(place(model, sorted(floors), shards))
+        placed = checkpointed(place(model.where("k > 0"), sorted(floors), shards))
         before, largest = largest, placed.where("long").groupBy("shard").count().agg(F.max("count")).first()[0] or 0
         if largest <= shard_entries or largest >= before:  # no smaller once each pair of characters is a shard of its own
             break
         shards *= 2
-    out = docs.withColumn("_log_prob", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
+    out = []
     for number in range(shards):
-        t = placed.where(F.col("shard") == number).select("key", "logp", "logb").toArrow()  # shard_entries rows and the short n-grams at most
-        packed = (uuid.uuid4().hex, number, shards, t.column("key").to_numpy().view(np.uint64), t.column("logp").to_numpy(), t.column("logb").to_numpy(), floors)
-        found = _score_with(spark.sparkContext.broadcast(packed), F.col(text_col), F.col(lang_col))
+        t = placed.where(F.col("shard") == number).select("key", "logp", "logb").toArrow()
+        packed = (uuid.uuid4().hex, number, shards, t.column("key").to_numpy().view(np.uint64), t.column("logp").to_numpy().astype(np.float32), t.column("logb").to_numpy().astype(np.float32), floors)
+        out.append((model.sparkSession.sparkContext.broadcast(packed), floors))
+    return out
+
+
+def score(docs: DataFrame, shards: list[tuple], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with ``n_scored`` (characters) and ``log_prob`` (natural), null where the language has no model."""
+    out = docs.withColumn("_log_prob", F.lit(0.0)).withColumn("_n", F.lit(0).cast("long"))
+    for sent, _ in shards:
+        found = _score_with(sent, F.col(text_col), F.col(lang_col))
         out = out.withColumn("_s", found).withColumn("_log_prob", F.col("_log_prob") + F.col("_s.log_prob")).withColumn("_n", F.col("_n") + F.col("_s.n")).drop("_s")
     names = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_scored", "log_prob")]
-    known = F.coalesce(F.col(lang_col).isin(sorted(floors)), F.lit(False))
+    known = F.coalesce(F.col(lang_col).isin(sorted(shards[0][1])), F.lit(False))
     return out.select(*names, F.when(known, F.col("_n")).alias("n_scored"), F.when(known, F.col("_log_prob")).alias("log_prob"))
 
 
@@ -259,9 +285,9 @@ def _score_with(sent, text: Column, lang: Column) -> Column:
             if shard.shards > 1:
                 mine = _shard_key(grams[:, -3], grams[:, -2], shard.shards) == shard.number
                 grams, owner = grams[mine], owner[mine]
-            _, first, back = np.unique(_hash([grams[:, k] for k in range(ORDER)], 0), return_index=True, return_inverse=True)
-            logs = shard.score(name, grams[first])
-            total += np.bincount(owner, logs[back], minlength=len(texts))
+            for start in range(0, len(grams), CHUNK):
+                part = slice(start, start + CHUNK)
+                total += np.bincount(owner[part], shard.score(name, grams[part]), minlength=len(texts))
             n += np.bincount(owner, minlength=len(texts))
         return pd.DataFrame({"log_prob": total, "n": n})
 
@@ -278,16 +304,18 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     figures and their documents are kept: nothing speaks against them. Null ids
     are never trusted; repeated rows get equal answers; no rows give no rows.
     """
-    bounded_batches(docs.sparkSession, rows=1_000, mb=2)
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("perplexity", "threshold", "keep")]
     ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
-    chosen = docs.join(ids, docs[id_col] == ids["_trusted"], "left_semi")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    chosen = docs.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi")
     held = F.crc32(F.col(id_col).cast("string")) % HELD_OUT == 0
-    model = train(chosen.where(~held), text_col, lang_col)
-    scored = score(docs.select(*[F.col(f"`{c}`") for c in names]), model, text_col, lang_col)
+    model = checkpointed(train(chosen.where(~held), text_col, lang_col))
+    shards = packed_shards(model)
+    scored = score(docs.select(*[F.col(f"`{c}`") for c in names]), shards, text_col, lang_col)
     perplexity = F.when(F.col("n_scored") > 0, F.exp(-F.col("log_prob") / F.col("n_scored")))
     scored = scored.withColumn("perplexity", perplexity).drop("n_scored", "log_prob")
-    known = score(chosen.where(held).select(id_col, text_col, lang_col), model, text_col, lang_col).withColumn("perplexity", perplexity)
+    known = score(chosen.where(held).select(id_col, text_col, lang_col), shards, text_col, lang_col).withColumn("perplexity", perplexity)
     thresholds = known.where("perplexity IS NOT NULL").groupBy(F.col(lang_col).alias("_lang")).agg((F.percentile_approx("perplexity", quantile, ACCURACY) * slack).alias("threshold"))
     thresholds = checkpointed(thresholds)
     bounded = scored.join(F.broadcast(thresholds), scored[lang_col] == thresholds["_lang"], "left")  # at most MAX_LANGUAGES rows
