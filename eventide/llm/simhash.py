@@ -105,13 +105,13 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate component: the smallest id.
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
+    """docs with one document of each near-duplicate component that ``find`` gives: the smallest id.
 
     Rows that repeat both id and text count as one document; rows of a null id
     all stay, as nothing names them.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     ids = found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).count()
     ids = checkpointed(ids)
     if not ids.where("count > 1 AND _kept IS NOT NULL").isEmpty():
