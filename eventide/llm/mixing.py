@@ -164,14 +164,17 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """Rows of docs as the mix holds them: once for every pass that takes at least half of the document's words.
+    """Rows of docs as the mix holds them: once for every pass that takes it, rounded to whole documents without bias.
 
-    Identical rows share their copies evenly, rounded up.
+    A pass that takes n of a document's words holds it with probability
+    n / size, by a hash of the document and the pass: expected words are those
+    of the mix, whatever a document's length. Identical rows share their copies evenly, rounded up.
     """
     placed, sources, block = layout(docs, id_col, text_col, source_col, seed, options)
     placed = checkpointed(placed)
     each = spans(placed, sources, block, seed).groupBy("sid", "start", "row_key", "pass").agg(F.sum("n_words").alias("n"), F.first("size").alias("size"))
-    copies = each.where("2 * n >= size").groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_copies"))
+    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("round"), "sid", "start", "row_key", "pass"), 11) / F.lit(float(2**53))
+    copies = each.where(uniform * F.col("size") < F.col("n")).groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_copies"))
     rows = placed.groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_rows"))
     copies = copies.join(rows, "_row_key").select("_row_key", F.ceil(F.col("_copies") / F.col("_rows")).cast("int").alias("_copies"))
     keyed = docs.withColumn("_doc_key", F.xxhash64(id_col, text_col, source_col))

@@ -86,3 +86,15 @@ def test_edge_rows(spark):
     assert mixed.columns == docs.columns
     assert mixing.taken_words(docs.limit(0)).count() == 0
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_whole_documents_meet_the_target_where_documents_are_long(spark, monkeypatch):
+    """A document of many blocks gets about the pass's share of them: it stays with that probability, not never or always."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    rows = [(i, f"d{i} " + "w " * 639, "a" if i < 60 else "b") for i in range(460)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"weights": (1, 1), "share": 0.35}
+    targets = {r.source_size: r.target for r in mixing.taken_words(docs, **options).collect()}
+    got = {r.source: r["count"] * 640 for r in mixing.mixed_documents(docs, **options).groupBy("source").count().collect()}
+    for source, n in (("a", 60), ("b", 400)):
+        assert abs(got.get(source, 0) - targets[n * 640]) < 0.2 * targets[n * 640]
