@@ -2,17 +2,23 @@
 
 The model's protobuf is parsed here (wire format, a few fields) and rebuilt as
 a tokenizers pipeline: normaliser, metaspace marker, unigram scores or BPE
-merges in score order, byte fallback. Batches are encoded by that library's
-threads; the reference library's ids and the round trip are held against it.
+merges in score order, byte fallback, atomic user-defined pieces. Texts are cut
+before their markers where no piece goes over such a cut; a batch's distinct
+parts are encoded and decoded by that library's threads, and a worker keeps the
+parts it has met. The reference library encodes every whole text; its ids and
+the round trip are held against the result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +29,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Threads of a task's encoder.
 THREADS = 2
+#: Parts of texts that a worker keeps encoded, and the longest that it keeps.
+HELD_PARTS, HELD_CHARS = 200_000, 64
+#: New parts that are encoded in one go.
+JOINED = 256
 
 
 def default_model() -> str:
@@ -45,7 +55,17 @@ class Model:
 
     @property
     def unknown(self) -> int:
-        return next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
+        found = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), None)
+        if found is None:
+            raise ValueError("the model has no unknown piece")
+        return found
+
+    @property
+    def parts(self) -> re.Pattern | None:
+        """What a normalised text is cut into: markers and what follows them; None if a piece goes over such a cut."""
+        names = {p for p, _, kind in self.pieces if kind in (NORMAL, USER, UNUSED)}
+        crossing = any(SPACE in p.lstrip(SPACE) for p in names)
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if SPACE in names and self.escape and not crossing else None
 
 
 def _fields(data: bytes):
@@ -121,20 +141,26 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 def build(model: Model):
     """A tokenizers.Tokenizer that gives the model's ids."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     unknown = model.pieces[model.unknown][0]
     if model.kind == BPE:
         vocabulary = {p[0]: i for i, p in enumerate(model.pieces)}
         core = models.BPE(vocabulary, merges(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback)
     elif model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
+        # control, unused and byte pieces never match text: a score that no path takes; user-defined ones are favoured as in the reference library
+        never = 1000 * min((s for _, s, _ in model.pieces), default=0.0) - 1000
+        best = max(0.0, *(s for _, s, kind in model.pieces if kind == NORMAL))
+        scores = {CONTROL: lambda p, s: never, UNUSED: lambda p, s: never, BYTE: lambda p, s: never, USER: lambda p, s: len(p) * best - 0.1}
+        core = models.Unigram([(p, scores.get(kind, lambda _, s: s)(p, s)) for p, s, kind in model.pieces], model.unknown, model.byte_fallback)
     else:
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
     tokenizer = Tokenizer(core)
+    if model.kind == BPE:
+        tokenizer.add_tokens([AddedToken(p, normalized=True) for p, _, kind in model.pieces if kind == USER])
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE if model.escape else " "))
     if model.escape:
@@ -144,11 +170,74 @@ def build(model: Model):
     return tokenizer
 
 
+class Codec:
+    """Encoder and decoder of one model: whole texts, or the parts that a text is cut into."""
+
+    def __init__(self, model: Model):
+        from tokenizers import decoders, normalizers
+
+        self.model, self.cut = model, model.parts
+        self.whole = build(model)
+        self.normalizer = self.whole.normalizer
+        self.part = build(model)  # what it gets is normalised already, and a part's first blank stays
+        self.part.normalizer = normalizers.Sequence([])
+        self.part.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
+        names = [p for p, _, _ in model.pieces]
+        self.leads = np.array([p.startswith(SPACE) for p in names])  # pieces that begin with a marker, and those of markers alone
+        self.blanks = np.array([bool(p) and not p.strip(SPACE) for p in names])
+        self.ids: dict[str, bytes] = {}  # of a part, as bytes of int32
+        self.odd: dict[str, str] = {}  # what parts decode to that don't decode to themselves
+
+    def normalised(self, text: str) -> str:
+        if not text or self.model.charsmap or self.model.squeeze:
+            return self.normalizer.normalize_str(text)
+        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
+        """(ids of all texts, how many each has, decoded texts)."""
+        if self.cut is None:
+            found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.int32), [len(x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
+        normalised = [self.normalised(text) for text in texts]
+        rows = [self.cut.findall(text) for text in normalised]
+        distinct = set(chain.from_iterable(rows))
+        self._learn(distinct - self.ids.keys())
+        found, decoded = [], []
+        for text, parts in zip(normalised, rows, strict=True):
+            found.append(b"".join([self.ids[part] for part in parts]))
+            plain = self.odd.keys().isdisjoint(parts)
+            back = text.replace(SPACE, " ") if plain else "".join([self.odd[part] if part in self.odd else part.replace(SPACE, " ") for part in parts])
+            decoded.append(back[1:] if self.model.dummy_prefix and back[:1] == " " else back)
+        if len(self.ids) > HELD_PARTS:
+            self.ids, self.odd = {}, {}
+        for part in distinct:
+            if len(part) > HELD_CHARS:
+                self.ids.pop(part, None), self.odd.pop(part, None)
+        return np.frombuffer(b"".join(found), np.int32), [len(x) // 4 for x in found], decoded
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode and decode new parts, JOINED at a time: pieces don't go over their markers, so ids can be told apart again."""
+        new = list(parts)
+        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        encoded = [np.array(e.ids, np.int32) for e in self.part.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+        back = self.part.decode_batch(encoded, skip_special_tokens=False)
+        for group, ids, text in zip(groups, encoded, back, strict=True):
+            begins = self.leads[ids]
+            begins[1:] &= ~self.blanks[ids[:-1]]
+            found = np.split(ids, np.flatnonzero(begins)[1:]) if len(ids) else []
+            if len(found) != len(group):  # a text that begins without a marker is alone in its lead
+                found = [np.array(e.ids, np.int32) for e in self.part.encode_batch_fast(group, add_special_tokens=False)]
+            self.ids.update(zip(group, [x.tobytes() for x in found], strict=True))
+            if text != "".join(group).replace(SPACE, " "):
+                given = zip(group, self.part.decode_batch(found, skip_special_tokens=False), strict=True)
+                self.odd.update((p, x) for p, x in given if x != p.replace(SPACE, " "))
+
+
 _loaded: dict[str, tuple] = {}
 
 
 def load(path: str) -> tuple:
-    """(tokenizers' tokenizer, sentencepiece's processor) of a model file, once for each worker."""
+    """(codec on the tokenizers library, sentencepiece's processor) of a model file, once for each worker."""
     if path not in _loaded:
         import sentencepiece
 
@@ -156,30 +245,37 @@ def load(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         with open(path, "rb") as f:
             data = f.read()
-        _loaded[path] = build(parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+        _loaded[path] = Codec(parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
     return _loaded[path]
 
 
-def encode(texts: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in load(path)[0].encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def decode(ids: list[list[int]], path: str) -> list[str]:
-    return load(path)[0].decode_batch(ids, skip_special_tokens=False)
+CODEC = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.bool_()), ("parity", pa.bool_())])
 
 
 def codec(text: Column, path: str) -> Column:
     """Struct ``(ids, decoded, parity)``: the ids, if they decode to the text, and if the reference library gives the same ids."""
 
-    @F.pandas_udf("ids array<int>, decoded boolean, parity boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        given = ["" if x is None else x for x in texts]
-        ids = encode(given, path)
-        back = decode(ids, path)
-        same = load(path)[1].encode(given, num_threads=THREADS)
-        rows = zip(texts, given, ids, back, same, strict=True)
-        found = [(None, None, None) if raw is None else (i, x == b, i == s) for raw, x, i, b, s in rows]
-        return pd.DataFrame(found, columns=["ids", "decoded", "parity"]).astype(object)
+    @F.arrow_udf("struct<ids: array<int>, decoded: boolean, parity: boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        gone = np.asarray(texts.is_null())
+        given = ["" if x is None else x for x in texts.to_pylist()]
+        own, reference = load(path)
+        ids, sizes, back = own.run(given)
+        ends = np.cumsum([0, *sizes], dtype=np.int32)
+        parity = np.zeros(len(given), bool)
+        # one buffer of the reference's ids for the whole batch, compared row by row
+        theirs = reference.encode(given, num_threads=THREADS)
+        lengths = np.array([len(x) for x in theirs], np.int64)
+        same = np.flatnonzero(lengths == np.diff(ends))
+        if len(same) == len(given) and np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int32, len(ids)), ids):
+            parity[:] = True
+        else:
+            for i in same:
+                parity[i] = np.array_equal(ids[ends[i] : ends[i + 1]], np.array(theirs[i], np.int32))
+        decoded = np.array([x == y for x, y in zip(given, back, strict=True)], bool)
+        offsets = pa.array(ends, pa.int32(), mask=np.append(gone, False))
+        columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, mask=gone), pa.array(parity, mask=gone)]
+        return pa.StructArray.from_arrays(columns, fields=list(CODEC))
 
     return run(text)
 
