@@ -3,6 +3,7 @@ connected components, distributed ranks and prefix sums."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint, which outlives any executor.
 
     The folder is the cluster's ``spark.checkpoint.dir``; a local one is set
-    only where neither the session nor the context names any (tests).
+    only where neither the session nor the context names any and all tasks run in one process (tests).
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -33,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="eventide-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -57,7 +60,7 @@ def any_of(columns: list[Column]) -> Column:
     return out
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node with an edge; component = smallest node reachable.
 
     Alternating large-star / small-star contraction. All neighbourhood work is
@@ -72,9 +75,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     )
     edges = checkpointed(edges)
     mark = _fingerprint(edges)
-    for _ in range(rounds):
-        if mark[0] == 0:
-            break
+    before = None
+    while mark != before and mark[0]:  # every round that changes anything lowers a label, so it settles
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
@@ -88,10 +90,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         )
         edges = checkpointed(small)
         before, mark = mark, _fingerprint(edges)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 

@@ -28,8 +28,10 @@ SHARE = 1.5
 MAX_PASSES = 2.0
 BLOCK_WORDS = 4096
 SHARD_BLOCKS = 256
-#: Block copies that one hypergeometric draw can handle; blocks grow beyond it.
-MAX_COPIES = 500_000_000
+#: Block copies of one tree: more are cut into ranges first, each with its exact share of every source and a tree of its own.
+MAX_COPIES = 100_000_000
+#: Shards whose running quotas one task sums up.
+SHARD_RANGE = 4096
 #: Levels of the tree that one grouped task splits.
 LEVELS = 3
 #: Documents of one source and hash range that one task orders.
@@ -84,8 +86,12 @@ def _splitter(level: int, n: int, seed: int):
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """``(shard, sid, quota)`` from ``(sid, quota)``: exact per-source block quotas of ``shards`` (a power of two) shards."""
     depth = shards.bit_length() - 1
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), "sid", "quota")
-    for level in range(0, depth, LEVELS):
+    copies = quotas.agg(F.sum("quota")).first()[0] or 0
+    top = min(depth, max(0, math.ceil(math.log2(max(1, copies / MAX_COPIES)))))
+    part = lambda i: F.floor(F.col("quota").cast("decimal(38,0)") * i / (1 << top)).cast("long")
+    nodes = quotas.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << top) - 1).cast("long"))).alias("node"), "sid", "quota")
+    nodes = nodes.select("node", "sid", (part(F.col("node") + 1) - part(F.col("node"))).alias("quota"))
+    for level in range(top, depth, LEVELS):
         n = min(LEVELS, depth - level)
         nodes = nodes.groupBy("node").applyInPandas(_splitter(level, n, seed), "node long, sid int, quota long")
     return nodes.withColumnRenamed("node", "shard")
@@ -99,10 +105,8 @@ def layout(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     rows = checkpointed(rows.withColumn("order", F.xxhash64(F.lit(seed), "id", "row_key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = checkpointed(source_targets(sizes, **options))
-    n_docs, words = sources.agg(F.sum("n_docs"), F.sum("target")).first()
+    n_docs = sources.agg(F.sum("n_docs")).first()[0]
     block = BLOCK_WORDS
-    while (words or 0) / block > MAX_COPIES:
-        block *= 2
     taken = F.round("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(taken / F.col("source_size"))).otherwise(0).cast("long")
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -119,8 +123,11 @@ def spans(placed: DataFrame, sources: DataFrame, block: int, seed: int = SEED) -
     copies = sources.agg(F.sum("quota")).first()[0] or 0
     shards = 1 << max(0, math.ceil(math.log2(max(1, copies / SHARD_BLOCKS))))
     leaves = split_quotas(sources.select("sid", "quota"), shards, seed)
-    until = F.sum("quota").over(Window.partitionBy("sid").orderBy("shard"))
-    dealt = leaves.withColumn("until", until).where("quota > 0").select("shard", "sid", F.explode(F.sequence(F.col("until") - F.col("quota"), F.col("until") - 1)).alias("copy"))
+    leaves = checkpointed(leaves.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE)))
+    before = F.sum("s").over(Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = leaves.groupBy("sid", "range").agg(F.sum("quota").alias("s")).select("sid", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    until = F.col("before") + F.sum("quota").over(Window.partitionBy("sid", "range").orderBy("shard"))
+    dealt = leaves.join(ranges, ["sid", "range"]).withColumn("until", until).where("quota > 0").select("shard", "sid", F.explode(F.sequence(F.col("until") - F.col("quota"), F.col("until") - 1)).alias("copy"))
 
     b = F.lit(block)
     blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
@@ -166,6 +173,9 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """Rows of docs as the mix holds them: once for every pass that takes it, rounded to whole documents without bias.
 
+    Null texts and texts without words are never held, a null source is one
+    source, the last, and an empty table gives no rows.
+
     A pass that takes n of a document's words holds it with probability
     n / size, by a hash of the document and the pass: expected words are those
     of the mix, whatever a document's length. Identical rows share their copies evenly, rounded up.

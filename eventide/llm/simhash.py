@@ -6,27 +6,27 @@ non-zero vector of GF(2)^3), and mask ``v`` keeps the bits whose colour has an
 odd inner product with ``v``. Any two bits lie outside some mask, so every pair
 within the radius agrees on all bits of that mask: no link can be missed.
 
-Fingerprints that meet another one in some table are verified through balls of
-radius one: two of them link iff they differ from a common 64-bit value in at
-most one bit each. A value has at most 65 fingerprints in its ball and all of
-them link with each other, so a star over the ball keeps every component
-without listing the pairs of a bucket.
+Fingerprints that meet in a bucket of some table are compared there, in blocks
+that pass on a spanning forest, never the bucket's pairs (see buckets).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_batches, checkpointed, connected_components
+from .buckets import crowded, linked
+from .common import bounded_batches, checkpointed
 
 SEED = 42
 RADIUS = 2
 SHINGLE = 3
+#: Fingerprints of one block of a bucket.
+BLOCK = 1024
 #: Bits of every byte value, lowest first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 BYTE = 256 * np.arange(8)
@@ -70,19 +70,24 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def linked_fingerprints(classes: DataFrame) -> DataFrame:
-    """Star edges ``(a, b)`` over nodes of ``classes (fp, node)`` (distinct fp) that join
-    exactly the components of "at most two differing bits"."""
-    keys = classes.select(
-        "fp", "node",
-        F.explode(F.array(*[F.struct(F.lit(v).cast("byte").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks())])).alias("k"),
-    ).select("fp", "node", "k.v", "k.key")
-    crowded = keys.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
-    close = keys.join(crowded, ["v", "key"], "left_semi").select("fp", "node").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
-    balls = close.select("node", F.explode(flips).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
-    balls = balls.withColumn("least", F.min("node").over(Window.partitionBy("centre")))
-    return balls.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+def close(radius: int = RADIUS):
+    """Links of a table of ``fp``: at most ``radius`` differing bits."""
+
+    def links(chunk: pa.Table) -> np.ndarray:
+        fp = chunk.column("fp").to_numpy().view(np.uint64)
+        return np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+
+    return links
+
+
+def linked_fingerprints(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Star edges ``(a, b)`` from nodes of ``classes (fp, node)`` (distinct fp) to the smallest
+    node of their component of "at most radius differing bits"."""
+    tables = [F.struct(F.lit(v).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))]
+    keys = classes.select("node", F.explode(F.array(*tables)).alias("k")).select("k.band", "k.key", "node")
+    members = checkpointed(crowded(keys))
+    payload = classes.select("node", F.lit(1).cast("long").alias("weight"), "fp")
+    return linked(members, payload, close(radius), BLOCK, BLOCK).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +101,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     fps = checkpointed(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("node")))
-    components = connected_components(linked_fingerprints(classes.where("node IS NOT NULL")))
+    components = linked_fingerprints(classes.where("node IS NOT NULL")).toDF("node", "component")
     named = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 

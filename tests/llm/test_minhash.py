@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from eventide.llm import minhash, simhash
+from eventide.llm import buckets, minhash, simhash
 
 
 def shingles(text):
@@ -62,7 +62,7 @@ def test_table_equals_brute_force(spark, sf):
 
 
 def test_a_large_group_of_near_copies(spark):
-    """Copies that differ from their base alone link through it; rounds of leaders find every component of a crowded bucket."""
+    """Copies that differ from their base alone link through it; blocks find every component of a crowded bucket."""
     draw = random.Random(4)
     base = [f"w{draw.randrange(5000)}" for _ in range(120)]
     texts = {i: edited(base, draw.choice([0, 1, 2, 3, 4]), draw) for i in range(1, 300)}
@@ -70,13 +70,20 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == components(texts)
 
 
-def test_leaders_compare_all_pairs_that_no_link_joins(spark):
-    """One bucket of 40 sets: a chain of near neighbours and sets that link with nothing."""
+def test_blocks_compare_all_pairs_that_no_link_joins(spark):
+    """One bucket of 40 sets in blocks of 4: a chain of near neighbours and sets that link with nothing."""
     sets = [np.arange(k, k + 20, dtype=np.uint64) for k in range(20)] + [np.arange(1000 * k, 1000 * k + 5, dtype=np.uint64) for k in range(1, 21)]
-    draw = random.Random(5)
-    members = spark.createDataFrame([(0, 7, len(sets), draw.random(), k) for k in range(len(sets))], "band int, key long, n long, u double, node long")
-    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
-    assert {r.node: r.component for r in minhash.linked(members, held, 0.9).collect()} == {k: 0 for k in range(20)}
+    members = spark.createDataFrame([(0, 7, k) for k in range(len(sets))], "band int, key long, node long")
+    held = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, weight long, shingles binary")
+    for block in (4, 256):
+        assert {r.node: r.component for r in buckets.linked(members, held, minhash.similar(0.9), block, 10**6).collect()} == {k: 0 for k in range(20)}
+
+
+def test_overlaps_are_those_of_sets():
+    draw = random.Random(6)
+    sets = [np.array(sorted(draw.sample(range(300), draw.randrange(1, 120))), np.uint64) for _ in range(40)]
+    want = [[len(set(a) & set(b)) for b in sets] for a in sets]
+    assert (minhash.overlaps(sets) + np.diag([0] * 40))[~np.eye(40, dtype=bool)].tolist() == np.array(want)[~np.eye(40, dtype=bool)].tolist()
 
 
 def test_edge_rows(spark):

@@ -98,3 +98,17 @@ def test_whole_documents_meet_the_target_where_documents_are_long(spark, monkeyp
     got = {r.source: r["count"] * 640 for r in mixing.mixed_documents(docs, **options).groupBy("source").count().collect()}
     for source, n in (("a", 60), ("b", 400)):
         assert abs(got.get(source, 0) - targets[n * 640]) < 0.2 * targets[n * 640]
+
+
+def test_many_copies_are_cut_into_ranges_first(spark, sf, monkeypatch):
+    quotas = spark.createDataFrame([(0, 1000), (1, 3), (2, 77)], "sid int, quota long")
+    monkeypatch.setattr(mixing, "MAX_COPIES", 100)
+    got = mixing.split_quotas(quotas, 32).collect()
+    sums, by = {}, {}
+    for r in got:
+        sums[r.sid], by[r.shard] = sums.get(r.sid, 0) + r.quota, by.get(r.shard, 0) + r.quota
+    assert sums == {0: 1000, 1: 3, 2: 77} and len(by) == 32 and max(by.values()) - min(by.values()) <= 4
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 16)
+    monkeypatch.setattr(mixing, "SHARD_RANGE", 4)
+    test_targets_and_words(spark, sf)

@@ -121,23 +121,25 @@ def test_fingerprint_edge_rows(spark):
 # --- op6 ---
 
 
-def brute_lines(rows, min_sites, max_share=0.5):
-    spread = {}
+def brute_lines(rows, min_sites):
+    prints = {}
     for _, text, source in rows:
+        if source is not None:
+            prints[text] = min(source, prints.get(text, source))
+    spread = {}
+    for text, source in prints.items():
         for line in (text or "").split("\n"):
-            if line.strip(" \t\r") and source is not None:
+            if line.strip(" \t\r"):
                 spread.setdefault(line.strip(" \t\r"), set()).add(source)
     out = []
     for i, text, _ in rows:
         lines = (text or "").split("\n")
         gone = [k for k, line in enumerate(lines) if len(spread.get(line.strip(" \t\r"), ())) >= min_sites]
-        if text is None or sum(len(lines[k]) for k in gone) > max_share * len(text):
-            gone = []
         out.append((i, text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), tuple(gone)))
     return out
 
 
-def test_line_dedup_is_the_brute_one(spark):
+def test_line_dedup_is_the_brute_one(spark, monkeypatch):
     random.seed(2)
     common = [f"shared line {k}" for k in range(12)]
     rows = []
@@ -146,12 +148,16 @@ def test_line_dedup_is_the_brute_one(spark):
         body[2:2] = random.sample(common, 3)
         rows.append((i, "\n".join(body) + random.choice(["", "\n", " "]), f"s{min(i % 40, i % 7 * 3)}"))
     rows += [(900, None, "s1"), (901, "", "s2"), (902, "shared line 1", "s3"), (903, " shared line 2\t\r\nlonger own text that stays here", None), (0, rows[0][1], "s0")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1)).withColumn("pos", F.lit(2)).withColumn("k1", F.lit(3))
+    rows += [(2000 + k, "first line of a copied text\nsecond line of it", f"s{k}") for k in range(30)]  # copies are one print
+    rows += [(3000, "very long line " * 30_000 + "\nshared line 3", "s5"), (3001, "shared line 4\n\nshared line 4", "s6"), (None, "shared line 5\nx", "s7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1)).withColumn("pos", F.lit(2)).withColumn("k1", F.lit(3)).withColumn("site", F.lit("x")).withColumn("removed_lines", F.lit(0))
     for least in (3, 10, 15):
         got = line_dedup.mark_lines(docs, min_sites=least)
         text = line_dedup.without_lines(F.col("text"), F.col("removed_lines"))
         found = sorted(((r.doc_id, r.x, tuple(r.removed_lines)) for r in got.select("doc_id", text.alias("x"), "removed_lines").collect()), key=str)
         assert found == sorted(brute_lines(rows, least), key=str)
+        assert [x for i, x, _ in found if i == 2001] == [rows[406][1]]
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)  # the shuffled way gives the same
     out = line_dedup.drop_spread_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     assert line_dedup.drop_spread_lines(docs.limit(0)).count() == 0
