@@ -2,9 +2,10 @@
 
 A bucket's members are dealt to blocks, and each block is compared where it
 lies and passes on a spanning forest. That joins the mass of a large group at
-linear cost. Then the members that lie outside their bucket's largest component
-meet all other blocks, so every pair of a bucket that no link has joined by
-then is compared too.
+linear cost; bands are gone through in a few passes, and buckets that lie in
+one component by then are done. Last, the members outside their bucket's
+largest component meet all other blocks of it, so every pair of a bucket that
+no link has joined by then is compared.
 """
 
 from __future__ import annotations
@@ -81,13 +82,13 @@ def _rows(found: list):
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
 
-def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], np.ndarray], block: int, block_weight: int) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], np.ndarray], block: int, block_weight: int, passes: list[int] | None = None) -> DataFrame:
     """``(node, component)`` of the nodes that links join with others.
 
     members: ``(band, key, node)``, any number in a bucket; payload: ``(node,
     weight, ...)``, what ``links`` compares. links gives a symmetric matrix of
     booleans over a table of rows ``(node, ...)``. A block has ``block``
-    members and so much weight on average.
+    members and so much weight on average. passes: the first band of every pass after the first.
     """
     bucket = ["band", "key"]
     at = lambda blocks: F.pmod(F.xxhash64(F.lit(SEED), "node"), blocks).cast("int")
@@ -99,29 +100,41 @@ def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], n
         rows = dealt.join(payload, "node").drop("weight")
         return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(_walk(links), "a long, b long")
 
+    def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
+        return checkpointed(connected_components(edges.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+
     sized = members.join(payload.select("node", "weight"), "node")
     buckets = sized.groupBy(*bucket).agg(F.count("*").alias("m"), F.sum("weight").alias("w")).where("m > 1")
     sized = checkpointed(sized.join(buckets.select(*bucket, blocks(F.col("m"), F.col("w")).alias("blocks")), bucket))
-    low, high = at(F.col("blocks")).alias("low"), F.lit(-1).alias("high")
-    edges = checkpointed(compared(sized.select(*bucket, low, high, "node", F.col("node").alias("component"), yes.alias("left"), yes.alias("right"))))
-    labels = checkpointed(connected_components(edges))
+    labels = sized.select("node", F.col("node").alias("component")).limit(0)
+
+    def unsettled(part: DataFrame) -> DataFrame:
+        """Members with their component, of the buckets that lie in several."""
+        part = part.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = part.groupBy(*bucket).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
+        return part.join(apart.select(*bucket), bucket, "left_semi")
+
+    bounds = [None, *(passes or []), None]
+    for first, end in zip(bounds, bounds[1:], strict=False):
+        part = sized if first is None else sized.where(F.col("band") >= first)
+        part = unsettled(part if end is None else part.where(F.col("band") < end))
+        edges = checkpointed(compared(part.select(*bucket, at(F.col("blocks")).alias("low"), F.lit(-1).alias("high"), "node", "component", yes.alias("left"), yes.alias("right"))))
+        labels = merged(edges, labels)
 
     large = sized.where("blocks > 1")
     if large.isEmpty():
         return labels
-    large = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    large = unsettled(large)
     parts = large.groupBy(*bucket, "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy(*bucket).agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    large = checkpointed(large.join(main.where("most < all").select(*bucket, "main"), bucket))
+    main = parts.groupBy(*bucket).agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    large = checkpointed(large.join(main, bucket))
     outside = large.where("component != main").groupBy(*bucket).agg(blocks(F.count("*"), F.sum("weight")).alias("rows"))
     large = large.join(outside, bucket)
     columns = (*GROUP, "node", "component", "left", "right")
     of_left = large.where("component != main").select("*", at(F.col("rows")).alias("low"), every(F.col("blocks")).alias("high"), yes.alias("left"), no.alias("right"))
     of_right = large.select("*", every(F.col("rows")).alias("low"), at(F.col("blocks")).alias("high"), no.alias("left"), yes.alias("right"))
     late = checkpointed(compared(of_left.select(*columns).union(of_right.select(*columns))))
-    if late.isEmpty():
-        return labels
-    return checkpointed(connected_components(late.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    return labels if late.isEmpty() else merged(late, labels)
 
 
 def crowded(keys: DataFrame) -> DataFrame:
