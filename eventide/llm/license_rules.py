@@ -3,11 +3,16 @@
 Texts are cut into sentences, sentences normalised and looked up among known
 licence sentences; the sequence of identifiers that a text yields is matched
 against ordered licence rules, longest first, each match consuming what it
-covers. Nothing is shuffled: a text's rules are decided within its row.
+covers; an identifier that stands alone and names a licence counts last.
+Nothing is shuffled: a text's rules are decided within its row.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,56 +52,109 @@ SENTENCES = {
     "cc0-1.0-short": "licensed under cc0 1 0",
     "unlicense-free": "this is free and unencumbered software released into the public domain",
     "all-rights-reserved": "all rights reserved",
-    "spdx-apache-2.0": "spdx license identifier apache 2 0",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-bsd-3-clause": "spdx license identifier bsd 3 clause",
-    "spdx-gpl-3.0-only": "spdx license identifier gpl 3 0 only",
-    "spdx-gpl-3.0-or-later": "spdx license identifier gpl 3 0 or later",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
+    "lgpl-2.1-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "mpl-2.0-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "epl-2.0-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "bsl-1.0-notice": "distributed under the boost software license version 1 0",
+    "bsl-1.0-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd-4-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "wtfpl-title": "do what the fuck you want to public license",
+}
+
+# SPDX identifiers and the licences' names in prose (normalised).
+NAMES = {
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "agpl v3"],
+    "AGPL-3.0-or-later": [],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "Artistic-2.0": ["artistic license 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license"],
+    "BSL-1.0": ["boost software license version 1 0"],
+    "CC-BY-4.0": ["creative commons attribution 4 0 international license"],
+    "CC-BY-NC-4.0": ["creative commons attribution noncommercial 4 0 international license"],
+    "CC-BY-ND-4.0": ["creative commons attribution noderivatives 4 0 international license"],
+    "CC-BY-SA-4.0": ["creative commons attribution sharealike 4 0 international license"],
+    "CC0-1.0": ["cc0 1 0 universal public domain dedication"],
+    "EPL-2.0": ["eclipse public license 2 0", "eclipse public license version 2 0"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gpl v2"],
+    "GPL-2.0-or-later": ["gnu general public license version 2 or later"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gpl v3"],
+    "GPL-3.0-or-later": ["gnu general public license version 3 or later"],
+    "ISC": ["isc license"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1"],
+    "LGPL-2.1-or-later": [],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3"],
+    "LGPL-3.0-or-later": [],
+    "MIT": ["mit license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "Unlicense": ["unlicense"],
+    "Zlib": ["zlib license"],
 }
+PHRASES = ("licensed under the {}", "released under the {}", "distributed under the {}", "this work is licensed under the {}")
+
+
+def _words(name: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+
+
+_known = set(SENTENCES.values())
+#: Licences that one sentence names: SPDX lines, and phrases with a licence's name.
+ALONE: dict[str, str] = {}
+for _licence, _names in NAMES.items():
+    _made = [(f"spdx-{_licence.lower()}", f"spdx license identifier {_words(_licence)}")]
+    _made += [(f"{_licence.lower()}-phrase-{i}", phrase.format(n)) for i, (n, phrase) in enumerate((n, p) for n in _names for p in PHRASES)]
+    for _identifier, _sentence in _made:
+        if _sentence not in _known:
+            SENTENCES[_identifier], ALONE[_identifier] = _sentence, _licence
+            _known.add(_sentence)
 
 #: (licence, identifiers that must follow each other among a text's licence sentences). Longer rules go first.
 RULES = [
     ("Apache-2.0", ("apache-2.0-grant", "apache-2.0-comply", "apache-2.0-obtain", "apache-2.0-url", "apache-2.0-as-is")),
     ("Apache-2.0", ("apache-2.0-grant", "apache-2.0-comply", "apache-2.0-obtain", "apache-2.0-as-is")),
     ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-as-is")),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-4-advertising")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-3-names")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope", "gpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-2.1-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-3-free", "lgpl-hope", "lgpl-details")),
+    ("AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-details")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl-2-free", "gpl-hope")),
+    ("MPL-2.0", ("mpl-2.0-notice", "mpl-2.0-copy")),
+    ("ISC", ("isc-grant", "isc-as-is")),
     ("Apache-2.0", ("apache-2.0-grant", "apache-2.0-comply")),
-    ("Apache-2.0", ("apache-2.0-short",)),
-    ("Apache-2.0", ("spdx-apache-2.0",)),
-    ("MIT", ("mit-short",)),
-    ("MIT", ("mit-short-licensed",)),
-    ("MIT", ("spdx-mit",)),
-    ("BSD-3-Clause", ("spdx-bsd-3-clause",)),
-    ("BSD", ("bsd-short",)),
-    ("ISC", ("isc-grant",)),
-    ("GPL-3.0-only", ("gpl-3-short",)),
-    ("GPL-3.0-only", ("spdx-gpl-3.0-only",)),
-    ("GPL-3.0-or-later", ("spdx-gpl-3.0-or-later",)),
-    ("GPL-2.0-only", ("gpl-2-short",)),
-    ("LGPL-3.0-only", ("lgpl-3-short",)),
-    ("AGPL-3.0-only", ("agpl-3-short",)),
-    ("MPL-2.0", ("mpl-2.0-notice",)),
-    ("MPL-2.0", ("mpl-2.0-short",)),
-    ("CC-BY-4.0", ("cc-by-4.0-short",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4.0-short",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4.0-short",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd-4.0-short",)),
-    ("CC0-1.0", ("cc0-1.0-short",)),
-    ("Unlicense", ("unlicense-free",)),
-    ("proprietary", ("all-rights-reserved",)),
 ]
+ALONE |= {
+    "apache-2.0-short": "Apache-2.0", "mit-short": "MIT", "mit-short-licensed": "MIT", "bsd-short": "BSD", "isc-grant": "ISC",
+    "gpl-3-short": "GPL-3.0-only", "gpl-2-short": "GPL-2.0-only", "lgpl-3-short": "LGPL-3.0-only", "agpl-3-short": "AGPL-3.0-only",
+    "gpl-2-free": "GPL-2.0-or-later", "gpl-free": "GPL-3.0-or-later", "lgpl-2.1-free": "LGPL-2.1-or-later", "lgpl-3-free": "LGPL-3.0-or-later",
+    "agpl-3-free": "AGPL-3.0-or-later", "mpl-2.0-notice": "MPL-2.0", "mpl-2.0-short": "MPL-2.0", "epl-2.0-notice": "EPL-2.0",
+    "bsl-1.0-notice": "BSL-1.0", "bsl-1.0-grant": "BSL-1.0", "zlib-grant": "Zlib", "cc-by-4.0-short": "CC-BY-4.0", "cc-by-sa-4.0-short": "CC-BY-SA-4.0",
+    "cc-by-nc-4.0-short": "CC-BY-NC-4.0", "cc-by-nd-4.0-short": "CC-BY-ND-4.0", "cc0-1.0-short": "CC0-1.0", "unlicense-free": "Unlicense",
+    "wtfpl-title": "WTFPL", "all-rights-reserved": "proprietary",
+}
 
 IDENTIFIERS = list(SENTENCES)
 #: Ends of sentences; in running text a single line feed is a blank.
 SENTENCE_END = r"([.!?;])[ \t\r\n]+"
 #: ... and a colon at the end of a line.
 COLON_END = ":[ \t\r]*\n"
-#: Longest normalised sentence known: raw ones over four times that can't be one.
-LONGEST = max(map(len, SENTENCES.values()))
 
 
 def normalise(sentence: Column) -> Column:
@@ -105,27 +163,36 @@ def normalise(sentence: Column) -> Column:
 
 def identifiers(sentences: Column) -> Column:
     """Numbers (from 1) of the known ones among sentences, in their order."""
-    known = F.array(*[F.xxhash64(F.lit(s)) for s in SENTENCES.values()])
-    short = F.filter(sentences, lambda s: F.length(s) <= 4 * LONGEST)
-    return F.filter(F.transform(short, lambda s: F.array_position(known, F.xxhash64(normalise(s)))), lambda n: n > 0)
+    known = F.array(*[F.lit(h).cast("long") for h in _hashes()])
+    return F.filter(F.transform(sentences, lambda s: F.array_position(known, F.xxhash64(normalise(s)))), lambda n: n > 0)
+
+
+@cache
+def _hashes() -> list[int]:
+    """XXH64 of the known sentences, as Spark's xxhash64 gives them."""
+    found = [xxhash.xxh64_intdigest(s, 42) for s in SENTENCES.values()]
+    return [h - 2**64 if h >= 2**63 else h for h in found]
 
 
 def _sequence(numbers: Column) -> Column:
-    return F.concat(F.lit(","), F.array_join(F.transform(numbers, lambda n: F.concat(n.cast("string"), F.lit(","))), ""))
+    """``,1,,7,,8,``: every identifier has commas of its own."""
+    return F.array_join(F.transform(numbers, lambda n: F.concat(F.lit(","), n.cast("string"), F.lit(","))), "")
 
 
 def _rule(parts: tuple[str, ...]) -> str:
-    return "," + ",".join(str(IDENTIFIERS.index(p) + 1) for p in parts) + ","
+    return "".join(f",{IDENTIFIERS.index(p) + 1}," for p in parts)
 
 
 def match_rules(sequence: Column) -> Column:
-    """Licences of a sequence ``,1,7,8,``: rules are tried in order and consume what they match."""
+    """Licences of a sequence: rules are tried in order and consume all that they match; then identifiers count that name a licence alone."""
     found, rest = [], sequence
     for licence, parts in RULES:
         rule = _rule(parts)
         found.append(F.when(F.contains(rest, F.lit(rule)), F.lit(licence)))
-        rest = F.replace(rest, F.lit(rule), F.lit(",,"))
-    return F.array_compact(F.array(*found))
+        rest = F.replace(rest, F.lit(rule), F.lit(";"))
+    licences = F.array(*[F.lit(ALONE.get(i)) for i in IDENTIFIERS])
+    alone = F.transform(F.regexp_extract_all(rest, F.lit("[0-9]+"), F.lit(0)), lambda n: F.element_at(licences, n.cast("int")))
+    return F.array_distinct(F.array_compact(F.concat(F.array(*found), alone)))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -134,7 +201,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Sentences are read twice, with line feeds as ends and as blanks (notices
     are wrapped as often as not); licences of either reading count, and the
     identifiers are those of the reading that knows more of them (of the first if they tie). Null
-    and empty texts have none. Rows are independent: repeats get equal answers.
+    and empty texts have none. Rows are independent: repeats get equal answers, and no rows give no
+    rows; columns of docs that are named like the results give way to them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
@@ -149,21 +217,15 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def oracle_sql() -> str:
+    """Rules over lists of identifiers: one step of the recursion for each rule, which writes 0 over what it covers."""
     values = ", ".join(f"('{s}', {i})" for i, s in enumerate(SENTENCES.values(), 1))
     names = ", ".join(f"'{i}'" for i in IDENTIFIERS)
-    matched, rest, columns = "", "s", []
-    for k, (licence, parts) in enumerate(RULES):
-        columns.append(f"CASE WHEN contains({rest}, '{_rule(parts)}') THEN '{licence}' END")
-        matched += f", replace({rest}, '{_rule(parts)}', ',,') AS r{k}"
-        rest = f"r{k}"
-    # every rule reads what the one before it left
-    chain = "seq"
-    for k, (_, parts) in enumerate(RULES):
-        source = "s" if k == 0 else f"r{k - 1}"
-        chain = f"(SELECT *, replace({source}, '{_rule(parts)}', ',,') AS r{k} FROM {chain})"
-    found = ", ".join(columns)
+    rules = ", ".join(f"({k}, '{licence}', {[IDENTIFIERS.index(p) + 1 for p in parts]})" for k, (licence, parts) in enumerate(RULES, 1))
+    alone = ", ".join(f"({IDENTIFIERS.index(i) + 1}, '{licence}')" for i, licence in ALONE.items())
     return f"""
-WITH known AS (SELECT * FROM (VALUES {values}) v(sentence, num)),
+WITH RECURSIVE known AS (SELECT * FROM (VALUES {values}) v(sentence, num)),
+rules AS (SELECT * FROM (VALUES {rules}) v(k, licence, parts)),
+alone AS (SELECT * FROM (VALUES {alone}) v(num, licence)),
 raw AS (
   SELECT doc_id, 1 AS reading, string_split(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
   UNION ALL
@@ -172,9 +234,19 @@ sentences AS (SELECT doc_id, reading, unnest(parts) AS sentence, generate_subscr
 hits AS (
   SELECT doc_id, reading, pos, num FROM (
     SELECT doc_id, reading, pos, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'), ' ') AS sentence FROM sentences) JOIN known USING (sentence)),
-seq AS (SELECT doc_id, reading, count(*) AS n, list(num ORDER BY pos) AS nums, ',' || string_agg(num || ',', '' ORDER BY pos) AS s FROM hits GROUP BY doc_id, reading),
-lic AS (SELECT doc_id, unnest([{found}]) AS licence FROM {chain}),
-by_doc AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licenses FROM (SELECT DISTINCT * FROM lic WHERE licence IS NOT NULL) GROUP BY doc_id),
+seq AS (SELECT doc_id, reading, count(*) AS n, list(num ORDER BY pos) AS nums FROM hits GROUP BY doc_id, reading),
+walk AS (
+  SELECT doc_id, reading, 0 AS k, nums AS rest, CAST([] AS VARCHAR[]) AS found FROM seq
+  UNION ALL
+  SELECT doc_id, reading, r.k, CASE WHEN len(starts) = 0 THEN rest ELSE [CASE WHEN len([s FOR s IN starts IF s <= i AND i < s + len(r.parts)]) > 0 THEN 0 ELSE rest[i] END FOR i IN range(1, len(rest) + 1)] END,
+         CASE WHEN len(starts) = 0 THEN found ELSE list_append(found, r.licence) END
+  FROM (SELECT w.*, r.k AS k1, r.parts AS parts1, [s FOR s IN range(1, len(rest) - len(r.parts) + 2) IF rest[s:s + len(r.parts) - 1] = r.parts] AS starts FROM walk w JOIN rules r ON r.k = w.k + 1) w
+  JOIN rules r ON r.k = w.k1),
+last AS (SELECT * FROM walk WHERE k = {len(RULES)}),
+lic AS (
+  SELECT doc_id, unnest(found) AS licence FROM last
+  UNION SELECT doc_id, licence FROM (SELECT doc_id, unnest(rest) AS num FROM last) JOIN alone USING (num)),
+by_doc AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licenses FROM (SELECT DISTINCT * FROM lic) GROUP BY doc_id),
 best AS (SELECT doc_id, arg_max(nums, n * 10 - reading) AS nums FROM seq GROUP BY doc_id)
 SELECT d.doc_id, coalesce(b.licenses, '') AS licenses, CAST(coalesce(len(t.nums), 0) AS BIGINT) AS n_sentences,
        coalesce(array_to_string([[{names}][i] FOR i IN t.nums], ','), '') AS sentences

@@ -237,6 +237,54 @@ def test_license_rules(spark):
     assert license_rules.scan(docs.limit(0)).count() == 0
 
 
+BSD3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+def brute_licenses(numbers):
+    """Licences of identifier numbers, by rules over lists."""
+    names, rest, found = license_rules.IDENTIFIERS, list(numbers), set()
+    for licence, parts in license_rules.RULES:
+        want = [names.index(p) + 1 for p in parts]
+        for at in range(len(rest)):
+            if rest[at : at + len(want)] == want:
+                rest[at : at + len(want)] = [0] * len(want)
+                found.add(licence)
+    return sorted(found | {license_rules.ALONE[names[n - 1]] for n in rest if n and names[n - 1] in license_rules.ALONE})
+
+
+def test_licence_edge_rows(spark):
+    """Notices that follow each other, junk before a sentence, very long texts, repeats, and SQL on the same rows."""
+    import duckdb
+
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = [
+        (1, BSD3 + BSD3, ["BSD-3-Clause"]), (2, "*" * 4000 + " All rights reserved.", ["proprietary"]), (3, "SPDX-License-Identifier: EPL-2.0", ["EPL-2.0"]),
+        (4, BSD3 + MIT + BSD3, ["BSD-3-Clause", "MIT"]), (5, "Licensed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        (6, "filler words here. " * 30_000 + MIT, ["MIT"]), (7, "Distributed under the Zlib license!", ["Zlib"]), (8, None, []), (9, "", []), (10, gpl2.replace(";", ","), ["GPL-2.0-or-later"]),
+    ]
+    rows += [(11, *rows[0][1:]), (11, *rows[0][1:])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("licenses", "license_sentences", "_lines", "_prose")})
+    got = license_rules.scan(docs).collect()
+    assert sorted((r.doc_id, r.licenses) for r in got) == sorted((i, want) for i, _, want in rows)
+    assert all(r.licenses == brute_licenses([license_rules.IDENTIFIERS.index(n) + 1 for n in r.license_sentences]) for r in got)
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows[:10]])
+    found = {r[0]: r[1] for r in duck.execute(f"SELECT doc_id, licenses FROM ({license_rules.oracle_sql()})").fetchall()}
+    assert found == {i: ",".join(want) for i, _, want in rows[:10]}
+
+
+def test_random_sequences_of_licence_sentences(spark):
+    draw = random.Random(11)
+    rows = [(i, [license_rules.IDENTIFIERS.index(p) + 1 for _ in range(draw.randrange(4)) for p in draw.choice(license_rules.RULES)[1][: draw.choice([1, 2, 9, 9])]]) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, n array<long>").select("i", F.array_sort(license_rules.match_rules(license_rules._sequence(F.col("n")))).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: brute_licenses(n) for i, n in rows}
+
+
 def test_rules_name_known_sentences():
     assert all(p in license_rules.SENTENCES for _, parts in license_rules.RULES for p in parts)
     assert all(re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s) for s in license_rules.SENTENCES.values())
