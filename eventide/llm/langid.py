@@ -27,6 +27,8 @@ SLOTS = 1 << 20
 MIN_SHARE = 0.01
 #: ... and no other language has it so many times more often (quoted passages of another language).
 MAX_RATIO = 8.0
+#: Characters of a text that are hashed in one go.
+CHUNK = 1 << 20
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,22 +42,36 @@ def letters() -> np.ndarray:
 
 def grams(text: str | None) -> np.ndarray:
     """64-bit hashes of all n-grams of the lower-cased words (runs of letters, a blank on either side), repeats included."""
-    points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(letters()[points], points, 32)
-    keep = points != 32
-    keep[1:] |= points[:-1] != 32
-    points = points[keep if keep.any() else slice(0, 0)].astype(np.uint64)
-    if not len(points):
-        return points
-    points = np.concatenate(([np.uint64(32)], points)) if points[0] != 32 else points
-    found = []
-    for n in ORDERS:
-        h = np.full(max(0, len(points) - n + 1), n, np.uint64)
-        for k in range(n):
-            h = (h ^ points[k : len(points) - n + 1 + k]) * MIX1
-            h ^= h >> np.uint64(29)
-        found.append(h)
-    return np.concatenate(found)
+    found = list(gram_chunks(text))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def gram_chunks(text: str | None):
+    """The n-grams of CHUNK characters at a time: the last ones of a chunk go before the next."""
+    text = text or ""
+    before = np.zeros(0, np.uint64)
+    for start in range(0, len(text), CHUNK):
+        points = np.frombuffer(text[start : start + CHUNK].lower().encode("utf-32-le", "replace"), np.uint32)
+        last = start + CHUNK >= len(text)
+        points = np.concatenate((before, np.where(letters()[points], points, 32).astype(np.uint64), np.full(int(last), 32, np.uint64)))
+        if not start:
+            points = np.concatenate((np.full(1, 32, np.uint64), points))
+        keep = points != 32
+        keep[1:] |= points[:-1] != 32
+        keep[0] = True
+        points = points[keep]
+        if len(points) > 1:
+            found = []
+            for n in ORDERS:
+                first = max(0, len(before) - n + 1)  # those within what came before are counted
+                part = points[first:]
+                h = np.full(max(0, len(part) - n + 1), n, np.uint64)
+                for k in range(n):
+                    h = (h ^ part[k : len(part) - n + 1 + k]) * MIX1
+                    h ^= h >> np.uint64(29)
+                found.append(h)
+            yield np.concatenate(found)
+        before = points[1 - max(ORDERS) :]
 
 
 def slots_of(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +88,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(langs, texts, strict=True):
-                by.setdefault(lang, []).append(np.unique(grams(text)))
+                by.setdefault(lang, []).append(np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, gram_chunks(text))])))
             for lang, found in by.items():
                 own, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(own) + 1), pa.string()), "gram": pa.array([*own.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), len(found)], pa.int64())})
@@ -91,17 +107,17 @@ class LanguageFilter:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the language that holds most of the text's n-grams, and the share it holds, both corrected for false positives."""
-        hashes = grams(text)
-        if not len(hashes) or not self.languages:
+        n, counts = 0, np.zeros(64 * len(self.words), np.int64)
+        for hashes in gram_chunks(text) if self.languages else ():
+            n += len(hashes)
+            one, two = slots_of(hashes, self.words.shape[1])
+            for w, slices in enumerate(self.words):
+                both = (slices[one] & slices[two]).view(np.uint8).reshape(-1, 8)
+                for b in range(8):
+                    if 64 * w + 8 * b < len(self.languages):
+                        counts[64 * w + 8 * b :][:8] += np.bincount(both[:, b], minlength=256) @ BYTE_BITS
+        if not n:
             return UNKNOWN, 0.0
-        one, two = slots_of(hashes, self.words.shape[1])
-        counts = np.zeros(64 * len(self.words), np.int64)
-        for w, slices in enumerate(self.words):
-            both = (slices[one] & slices[two]).view(np.uint8).reshape(-1, 8)
-            for b in range(8):
-                if 64 * w + 8 * b < len(self.languages):
-                    counts[64 * w + 8 * b :][:8] = np.bincount(both[:, b], minlength=256) @ BYTE_BITS
-        n = len(hashes)
         held = (counts[: len(self.languages)] - n * self.false_rate) / (n * np.maximum(1e-9, 1 - self.false_rate))
         best = int(np.argmax(held))
         return self.languages[best], float(np.clip(held[best], 0.0, 1.0))

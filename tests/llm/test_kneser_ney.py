@@ -60,8 +60,8 @@ def test_scores_equal_the_direct_statement(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("n_scored", F.lit("clash"))
     model = kn.train(train)
     brute = Brute(TEXTS)
-    for entries in (10**6, 60):  # one shard, then several
-        got = {r.doc_id: r for r in kn.score(docs, kn.packed_shards(model, entries)).collect()}
+    for entries in (10**6, 60):  # one pass, then several
+        got = {r.doc_id: r for r in kn.score(docs, model, shard_entries=entries).collect()}
         for i, text in rows:
             assert got[i].n_scored == len(kn.tidy(text))
             assert abs(got[i].log_prob - brute.log_prob(text or "")) < 1e-4, (entries, text)
@@ -71,7 +71,46 @@ def test_scores_equal_the_direct_statement(spark):
 def test_other_languages_have_no_figures(spark):
     train = spark.createDataFrame([("en", t) for t in TEXTS], "lang string, text string")
     docs = spark.createDataFrame([(1, "abc", "de"), (2, "abc", None)], "doc_id long, text string, lang string")
-    assert all(r.log_prob is None and r.n_scored is None for r in kn.score(docs, kn.packed_shards(kn.train(train))).collect())
+    assert all(r.log_prob is None and r.n_scored is None for r in kn.score(docs, kn.train(train)).collect())
+
+
+def test_shards_keep_their_bound(spark):
+    """A hot pair of characters is told apart by one more; passes hold consecutive shards."""
+    hot = [a + b + "qu" + c for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    model = kn.train(spark.createDataFrame([("en", t) for t in hot], "lang string, text string"))
+    placed, plan, counts = kn.shards_of(model, 400)
+    assert plan["en"][0] > 2 and max(r["count"] for r in placed.where("long").groupBy("shard").count().collect()) <= 400
+    found = kn.passes(counts, 700)
+    assert sorted(s for own in found for s in own["en"]) == list(range(plan["en"][1])) and len(found) > 1
+
+
+def test_thresholds_and_keeps_are_the_brute_ones(spark, sf):
+    """On the given documents: perplexities from two shard sizes agree; thresholds and keep follow from them."""
+    docs, trusted = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    clash = docs.withColumns({c: F.lit("x") for c in ("n_scored", "log_prob", "_n", "_sum", "row", "blank", "_trusted", "k1")})
+    one = {r.doc_id: r for r in kn.classify(docs, trusted).collect()}
+    many = {r.doc_id: r for r in kn.classify(clash, trusted, shard_entries=20_000).collect()}
+    assert one.keys() == many.keys() and all(r.row == "x" for r in many.values())
+    held = {}
+    ids = {r.doc_id for r in trusted.collect()}
+    for i, r in one.items():
+        assert (r.perplexity is None) == (many[i].perplexity is None) and (r.perplexity is None or abs(r.perplexity / many[i].perplexity - 1) < 1e-6)
+        if i in ids and zlib.crc32(str(i).encode()) % kn.HELD_OUT == 0 and r.perplexity is not None:
+            held.setdefault(r.lang, []).append(r.perplexity)
+    for r in one.values():
+        values = sorted(held.get(r.lang, []))
+        want = values[max(0, math.ceil(kn.QUANTILE * len(values)) - 1)] * kn.SLACK if values else None
+        assert (r.threshold is None) == (want is None) and (want is None or abs(r.threshold - want) < 1e-9)
+        assert r.keep == (bool((r.text or "").strip(" ")) and (want is None or r.perplexity is None or r.perplexity <= want))
+
+
+def test_very_long_texts_are_cut_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(kn, "CHUNK", 1000)
+    text = " ".join(TEXTS) * 300
+    docs = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (2, TEXTS[0], "en")], "doc_id long, text string, lang string")
+    got = kn.score(docs, kn.train(spark.createDataFrame([("en", t) for t in TEXTS], "lang string, text string"))).collect()
+    want = Brute(TEXTS).log_prob(text)
+    assert len(got) == 3 and all(abs(r.log_prob / want - 1) < 1e-4 for r in got if r.doc_id == 1)
 
 
 def test_classifier(spark):

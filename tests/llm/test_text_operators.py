@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,38 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in langid.predict(docs, train.limit(0)).collect()} == {"und"}
 
 
+def brute_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    joined = " " + " ".join(words) + " "
+    return sorted(joined[i : i + n] for n in langid.ORDERS for i in range(len(joined) - n + 1)) if words else []
+
+
+def test_grams_are_those_of_words_whatever_the_chunk(monkeypatch):
+    """Equal n-grams have equal hashes and others don't, also over the bounds of chunks."""
+    draw = random.Random(12)
+    texts = ["", "a", " - ", "ab", *("".join(draw.choice("abcÉß  -1\n") for _ in range(draw.randrange(1, 60))) for _ in range(200))]
+    for chunk in (1 << 20, 7, 1):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for text in texts:
+            assert sorted(Counter(langid.grams(text).tolist()).values()) == sorted(Counter(brute_grams(text)).values()), (chunk, text)
+
+
+def test_predictions_are_the_brute_ones(spark):
+    """Without hash collisions a score is the share of a text's n-grams that the language's documents have; ties go to the larger language."""
+    train = [("en", "the cat sat on the mat"), ("en", "a dog and the cat"), ("en", "mat and hat"), ("fr", "le chat est la"), ("fr", "les amis de la ville")]
+    held = {lang: set().union(*(brute_grams(t) for x, t in train if x == lang)) for lang in ("en", "fr")}
+    rows = [(1, "the cat and le chat"), (2, "amis"), (3, "zzzz qqqq"), (3, "zzzz qqqq"), (4, "the dog " * 50_000), (None, "la ville")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("lang_pred", "_found", "lang", "gram")})
+    model = langid.learn(spark.createDataFrame(train, "lang string, text string"), min_share=0.0, max_ratio=1e18)
+    for _, text in rows:
+        grams = brute_grams(text)
+        share = {lang: sum(g in own for g in grams) / len(grams) for lang, own in held.items()}
+        lang, score = model.predict(text)
+        assert abs(score - max(share.values())) < 0.02 and (lang == max(share, key=lambda x: (share[x], x == "en")))
+    got = langid.predict(docs, spark.createDataFrame(train, "lang string, text string"))
+    assert got.count() == len(rows) and {r.lang_pred for r in got.where("doc_id = 3").collect()} == {"en"}
+
+
 def test_many_languages_share_one_filter():
     import numpy as np
 
