@@ -1,11 +1,11 @@
 """Links between members of hash buckets, without listing a bucket's pairs.
 
-A bucket's members are dealt to blocks, and each block is compared where it
-lies and passes on a spanning forest. That joins the mass of a large group at
-linear cost; bands are gone through in a few passes, and buckets that lie in
-one component by then are done. Last, the members outside their bucket's
-largest component meet all other blocks of it, so every pair of a bucket that
-no link has joined by then is compared.
+A bucket's members are dealt to blocks. The first bands' blocks are compared
+where they lie, each on its own, and pass on a spanning forest: that joins the
+mass of a large group at linear cost. Buckets that lie in one component by then
+are done. In the others, of all bands, the members outside the bucket's largest
+component meet all its blocks, so every pair of a bucket that no link has
+joined by then is compared.
 """
 
 from __future__ import annotations
@@ -23,23 +23,22 @@ SEED = 42
 GROUP = ("band", "key", "low", "high")
 
 
-def _forest(near: np.ndarray) -> np.ndarray:
-    """Pairs (rows of two columns) of a spanning forest of a symmetric matrix of links."""
+def _stars(near: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node) within the components of a symmetric matrix."""
+    order = np.argsort(node)
     left = np.ones(len(near), bool)
-    found = []
-    for root in range(len(near)):
+    a, b = [], []
+    for root in order.tolist():
         if not left[root]:
             continue
         left[root] = False
         front = np.array([root])
         while len(front):
-            reached = near[front] & left
-            new = np.flatnonzero(reached.any(axis=0))
-            if len(new):
-                found.append(np.stack((front[reached[:, new].argmax(axis=0)], new), axis=1))
-            left[new] = False
-            front = new
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            a.append(node[front])
+            b.append(np.full(len(front), node[root]))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _walk(links: Callable[[pa.Table], np.ndarray]):
@@ -52,9 +51,7 @@ def _walk(links: Callable[[pa.Table], np.ndarray]):
         asked &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
         if not asked.any():
             return None
-        pairs = _forest(links(chunk) & asked)
-        node = chunk.column("node").to_numpy()
-        return (node[pairs[:, 0]], node[pairs[:, 1]]) if len(pairs) else None
+        return _stars(links(chunk) & asked, chunk.column("node").to_numpy())
 
     def run(batches):
         held = None
@@ -82,13 +79,13 @@ def _rows(found: list):
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
 
-def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], np.ndarray], block: int, block_weight: int, passes: list[int] | None = None) -> DataFrame:
+def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], np.ndarray], block: int, block_weight: int, first: int | None = None) -> DataFrame:
     """``(node, component)`` of the nodes that links join with others.
 
-    members: ``(band, key, node)``, any number in a bucket; payload: ``(node,
-    weight, ...)``, what ``links`` compares. links gives a symmetric matrix of
+    members: ``(band, key, node, weight)``, any number in a bucket; payload:
+    ``(node, ...)``, what ``links`` compares. links gives a symmetric matrix of
     booleans over a table of rows ``(node, ...)``. A block has ``block``
-    members and so much weight on average. passes: the first band of every pass after the first.
+    members and so much weight on average. first: bands whose blocks go first (all if None).
     """
     bucket = ["band", "key"]
     at = lambda blocks: F.pmod(F.xxhash64(F.lit(SEED), "node"), blocks).cast("int")
@@ -97,48 +94,35 @@ def linked(members: DataFrame, payload: DataFrame, links: Callable[[pa.Table], n
     yes, no = F.lit(True), F.lit(False)
 
     def compared(dealt: DataFrame) -> DataFrame:
-        rows = dealt.join(payload, "node").drop("weight")
-        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(_walk(links), "a long, b long")
-
-    def merged(edges: DataFrame, labels: DataFrame) -> DataFrame:
-        return checkpointed(connected_components(edges.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-
-    sized = members.join(payload.select("node", "weight"), "node")
-    buckets = sized.groupBy(*bucket).agg(F.count("*").alias("m"), F.sum("weight").alias("w")).where("m > 1")
-    sized = checkpointed(sized.join(buckets.select(*bucket, blocks(F.col("m"), F.col("w")).alias("blocks")), bucket))
-    labels = sized.select("node", F.col("node").alias("component")).limit(0)
-
-    def unsettled(part: DataFrame) -> DataFrame:
-        """Members with their component, of the buckets that lie in several."""
-        part = part.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = part.groupBy(*bucket).agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-        return part.join(apart.select(*bucket), bucket, "left_semi")
-
-    bounds = [None, *(passes or []), None]
-    for first, end in zip(bounds, bounds[1:], strict=False):
-        part = sized if first is None else sized.where(F.col("band") >= first)
-        part = unsettled(part if end is None else part.where(F.col("band") < end))
-        edges = checkpointed(compared(part.select(*bucket, at(F.col("blocks")).alias("low"), F.lit(-1).alias("high"), "node", "component", yes.alias("left"), yes.alias("right"))))
-        labels = merged(edges, labels)
-
-    large = sized.where("blocks > 1")
-    if large.isEmpty():
+        return checkpointed(dealt.join(payload, "node").repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(_walk(links), "a long, b long"))
+
+    buckets = members.groupBy(*bucket).agg(F.count("*").alias("m"), F.sum("weight").alias("w")).where("m > 1")
+    sized = checkpointed(members.join(buckets.select(*bucket, blocks(F.col("m"), F.col("w")).alias("blocks")), bucket))
+    part = sized if first is None else sized.where(F.col("band") < first)
+    within = lambda df: df.select(*bucket, at(F.col("blocks")).alias("low"), F.lit(-1).alias("high"), "node", "component", yes.alias("left"), yes.alias("right"))
+    labels = checkpointed(connected_components(compared(within(part.withColumn("component", F.col("node"))))))
+
+    rest = sized.where("blocks > 1") if first is None else sized.where((F.col("band") >= first) | (F.col("blocks") > 1))
+    if rest.isEmpty():
         return labels
-    large = unsettled(large)
-    parts = large.groupBy(*bucket, "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy(*bucket).agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    large = checkpointed(large.join(main, bucket))
+    rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rest.groupBy(*bucket, "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy(*bucket).agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("n")).where("n > 1")
+    rest = checkpointed(rest.join(main.select(*bucket, "main"), bucket))
+    large = rest.where("blocks > 1")
     outside = large.where("component != main").groupBy(*bucket).agg(blocks(F.count("*"), F.sum("weight")).alias("rows"))
     large = large.join(outside, bucket)
     columns = (*GROUP, "node", "component", "left", "right")
     of_left = large.where("component != main").select("*", at(F.col("rows")).alias("low"), every(F.col("blocks")).alias("high"), yes.alias("left"), no.alias("right"))
     of_right = large.select("*", every(F.col("rows")).alias("low"), at(F.col("blocks")).alias("high"), no.alias("left"), yes.alias("right"))
-    late = checkpointed(compared(of_left.select(*columns).union(of_right.select(*columns))))
-    return labels if late.isEmpty() else merged(late, labels)
+    late = compared(within(rest.where("blocks = 1")).union(of_left.select(*columns)).union(of_right.select(*columns)))
+    if late.isEmpty():
+        return labels
+    return checkpointed(connected_components(late.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
 
 def crowded(keys: DataFrame) -> DataFrame:
-    """Rows of ``(band, key, node)`` that share their bucket with another one."""
+    """Rows of ``(band, key, node, ...)`` that share their bucket with another one."""
     more = keys.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").select("band", "key")
     return keys.join(more, ["band", "key"], "left_semi")
 

@@ -84,10 +84,9 @@ def linked_fingerprints(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Star edges ``(a, b)`` from nodes of ``classes (fp, node)`` (distinct fp) to the smallest
     node of their component of "at most radius differing bits"."""
     tables = [F.struct(F.lit(v).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))]
-    keys = classes.select("node", F.explode(F.array(*tables)).alias("k")).select("k.band", "k.key", "node")
+    keys = classes.select("node", F.explode(F.array(*tables)).alias("k")).select("k.band", "k.key", "node", F.lit(1).cast("long").alias("weight"))
     members = checkpointed(crowded(keys))
-    payload = classes.select("node", F.lit(1).cast("long").alias("weight"), "fp")
-    return linked(members, payload, close(radius), BLOCK, BLOCK).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return linked(members, classes.select("node", "fp"), close(radius), BLOCK, BLOCK).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,8 +73,8 @@ def test_a_large_group_of_near_copies(spark):
 def test_blocks_compare_all_pairs_that_no_link_joins(spark):
     """One bucket of 40 sets in blocks of 4: a chain of near neighbours and sets that link with nothing."""
     sets = [np.arange(k, k + 20, dtype=np.uint64) for k in range(20)] + [np.arange(1000 * k, 1000 * k + 5, dtype=np.uint64) for k in range(1, 21)]
-    members = spark.createDataFrame([(0, 7, k) for k in range(len(sets))], "band int, key long, node long")
-    held = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, weight long, shingles binary")
+    members = spark.createDataFrame([(0, 7, k, len(s)) for k, s in enumerate(sets)], "band int, key long, node long, weight long")
+    held = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
     for block in (4, 256):
         assert {r.node: r.component for r in buckets.linked(members, held, minhash.similar(0.9), block, 10**6).collect()} == {k: 0 for k in range(20)}
 
