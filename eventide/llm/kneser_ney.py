@@ -43,7 +43,7 @@ QUANTILE, SLACK = 0.995, 1.2
 ACCURACY = 100_000
 #: One in so many trusted documents sets the thresholds and is not trained on.
 HELD_OUT = 5
-BLANKS = re.compile(r"\s+")
+BLANKS = re.compile(r"\s{2,}|[^\S ]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,7 +249,9 @@ def place(model: DataFrame, plan: dict[str, tuple[int, int]]) -> DataFrame:
                 points = np.frombuffer("".join(rows["gram"]).encode("utf-32-le", "replace"), np.uint32).reshape(-1, k)
                 keys = _hash([points[:, j] for j in range(k)], seeds[lang]) | np.uint64(1)
                 out = pd.DataFrame({"lang": lang, "long": True, "key": keys.view(np.int64), "logp": rows["logp"].to_numpy(), "logb": rows["logb"].to_numpy()})
-                if k <= depth:
+                if shards == 1:
+                    placed = [out.assign(shard=0, long=k > depth)]
+                elif k <= depth:
                     placed = [out.assign(shard=s, long=False) for s in range(shards)]
                 else:
                     # as a predicted n-gram by the characters before its last, as a context by its last ones
@@ -374,7 +376,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     names = [c for c in docs.columns if c not in ("perplexity", "threshold", "keep")]
     ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted IS NOT NULL").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    kept = {c: f"_{i}_of_docs" for i, c in enumerate(names)}  # apart, so that texts nobody asks for aren't shuffled, and no name clashes
+    own = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in kept.items()], F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     chosen = own.select("id", "text", "lang").join(ids, F.col("id") == F.col("_trusted"), "left_semi")
     held = F.crc32(F.col("id").cast("string")) % HELD_OUT == 0
     model = checkpointed(train(chosen.where(~held)))
@@ -385,4 +388,4 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     thresholds = checkpointed(known.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx("perplexity", quantile, ACCURACY) * slack).alias("threshold")))
     bounded = scored.join(F.broadcast(thresholds), F.col("lang") == F.col("_lang"), "left")  # one row for each language
     keep = ~F.col("blank") & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return bounded.select(*[F.col("row").getField(c).alias(c) for c in names], "perplexity", "threshold", keep.alias("keep"))
+    return bounded.select(*[F.col(k).alias(c) for c, k in kept.items()], "perplexity", "threshold", keep.alias("keep"))
