@@ -19,7 +19,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` for nodes ``(id)`` and edges ``(a, b)``: the smallest id reachable.
 
     Every round a node takes the smallest label around it, then the label of
@@ -28,7 +28,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = _cut(both)
     labels = _cut(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    while True:  # a round that moves nothing is the last
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         pulled = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         up = pulled.select(F.col("id").alias("label"), F.col("label").alias("up"))
@@ -37,7 +37,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         labels = jumped
         if not moved:
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def dominant_component(nodes: DataFrame, edges: DataFrame, keys: Names) -> DataFrame:
