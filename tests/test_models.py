@@ -31,3 +31,18 @@ def test_quality_model_on_folds_of_whole_sources(spark):
     found = model_queries.cv_auc(spark, "/root/testdata/sf0.01").collect()
     assert len(found) == 4
     assert sum(r.auc for r in found) / 4 > 0.85
+
+
+def test_missing_features_take_the_training_rows_mean(spark):
+    import math
+
+    from eventide.operators import learning
+
+    rows = [(float(i), None if i % 7 == 0 else float(i % 5), int(i > 20)) for i in range(40)]
+    train = spark.createDataFrame(rows, "a double, b double, y int")
+    model = learning.logistic(train, ["a", "b"], "y")
+    seen = [b for _, b, _ in rows if b is not None]
+    mean = sum(seen) / len(seen)
+    # alone in its table, a row without b scores as with the training mean, not with its own or none
+    lone = [learning.scored(model, spark.createDataFrame([(25.0, b)], "a double, b double")).first().p for b in (None, math.nan, mean)]
+    assert max(lone) - min(lone) < 1e-12 and 0 < lone[0] < 1
