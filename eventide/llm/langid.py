@@ -27,6 +27,8 @@ SLOTS = 1 << 20
 MIN_SHARE = 0.01
 #: ... and no other language has it so many times more often (quoted passages of another language).
 MAX_RATIO = 8.0
+#: ... and so many documents have it (or all, if there are fewer).
+MIN_DOCS = 2
 #: Characters of a text that are hashed in one go.
 CHUNK = 1 << 20
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -119,14 +121,14 @@ class LanguageFilter:
         if not n:
             return UNKNOWN, 0.0
         held = (counts[: len(self.languages)] - n * self.false_rate) / (n * np.maximum(1e-9, 1 - self.false_rate))
-        best = int(np.argmax(held))
+        best = int(np.argmax(np.maximum(held, 0.0)))  # languages that hold nothing tie, whatever their filters' false positives
         return self.languages[best], float(np.clip(held[best], 0.0, 1.0))
 
 
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE, max_ratio: float = MAX_RATIO, slots: int = SLOTS) -> LanguageFilter:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE, max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS, slots: int = SLOTS) -> LanguageFilter:
     """Filters of all languages in docs, from all rows that have text and a language.
 
     What comes to the driver is bounded by ``slots`` (one mask for each slot),
@@ -143,7 +145,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_s
         dim = spark.createDataFrame([(lang, i, int(sizes[lang])) for i, lang in enumerate(languages)], "lang string, l int, docs long")
         shares = counts.where("gram IS NOT NULL").join(F.broadcast(dim), "lang").withColumn("share", F.col("n") / F.col("docs"))  # one row for each language
         top = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("l", "n", "share", "docs")).alias("held"))  # one entry for each language
-        own = top.select("gram", "top", F.explode("held").alias("h")).where((F.col("h.share") >= min_share) & (F.col("h.n") >= F.least(F.lit(2), "h.docs")) & (F.col("top") <= F.col("h.share") * max_ratio))
+        own = top.select("gram", "top", F.explode("held").alias("h")).where((F.col("h.share") >= min_share) & (F.col("h.n") >= F.least(F.lit(min_docs), "h.docs")) & (F.col("top") <= F.col("h.share") * max_ratio))
 
         def place(batches):
             for batch in batches:
