@@ -287,10 +287,10 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     hits = own.join(cut, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("low"))  # a page's own nodes only
     hits = checkpointed(hits.select(F.col("page").alias("_hit_page"), F.col("low").alias("_low")))
     size = hits.agg(F.sum(F.size("_low") + 1)).first()[0] or 0
-    keyed = pages.withColumn("_page_key", page_key)
-    joined = keyed.join(F.broadcast(hits) if size <= BROADCAST_KEYS else hits.hint("merge"), F.col("_page_key") == F.col("_hit_page"), "left")
-    names = [F.col(f"`{c}`") for c in pages.columns if c != "text"]
-    return joined.select(*names, main_text(F.col(html_col), F.col("_low")).alias("text"))
+    own_key = F.xxhash64(pages[url_col], pages[html_col])
+    joined = pages.join(F.broadcast(hits) if size <= BROADCAST_KEYS else hits.hint("merge"), own_key == hits["_hit_page"], "left")
+    names = [pages[f"`{c}`"] for c in pages.columns if c != "text"]
+    return joined.select(*names, main_text(pages[html_col], hits["_low"]).alias("text"))
 
 
 def main_text(html: Column, low: Column) -> Column:

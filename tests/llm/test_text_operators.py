@@ -58,7 +58,7 @@ def test_site_style_tree_cuts_repeated_branches(spark):
         return f"<html><body><div class=box0><p>All about us</p><p>Terms apply</p></div><div class=story><p>{words}</p><p>more {words}</p></div></body></html>"
 
     rows = [(i, "http://a.example/x", page(i)) for i in range(20)] + [(100, "http://b.example/", page(100)), (101, None, None)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("host", F.lit(2))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("key", "host", "_low", "_hit_page", "_page_key", "text")})
     got = {r.page_id: r.text for r in style_tree.extract_pages(pages).collect()}
     assert all("All about us" not in got[i] and got[i].startswith(f"w{i}0 ") for i in range(20))
     assert got[100].startswith("All about us Terms apply w100")  # one page says nothing about its site
