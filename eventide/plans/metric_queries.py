@@ -13,15 +13,35 @@ from .common import DAY, HOUR, E, events, of_type, query, scores_sql, table
 USER = ["user_id"]
 
 
-# --- one-to-one matching and its scores (folds: held against brute force in the tests) ---
+# --- one-to-one matching and its scores (the SQL walks a user's rows by recursion) ---
 
+TIMELY = "OVER (PARTITION BY user_id ORDER BY t, event_id) AS"
 
-@query()
+
+def matched_sql(tolerance: int, nearest: bool = False, refs: str = "buys", preds: str = "clicks") -> str:
+    """CTEs up to m (user_id, pred, pred_t, ref, ref_t; ref is null for the unmatched): preds in time order take a later ref than the one before, the first or the nearest within the tolerance."""
+    by = "abs(r.t - p.t), r.k" if nearest else "r.k"
+    return f"""r AS (SELECT user_id, event_id, t, row_number() {TIMELY} k FROM {refs}), p AS (SELECT user_id, event_id, t, row_number() {TIMELY} i FROM {preds}),
+near AS (SELECT p.user_id, p.i, list(r.k ORDER BY {by}) FILTER (WHERE r.k IS NOT NULL) AS ks FROM p LEFT JOIN r ON r.user_id = p.user_id AND abs(r.t - p.t) <= {tolerance} GROUP BY p.user_id, p.i),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS k FROM p
+  UNION ALL SELECT n.user_id, n.i, coalesce(list_filter(n.ks, lambda x: x > w.used)[1], w.used), list_filter(n.ks, lambda x: x > w.used)[1] FROM w JOIN near n ON n.user_id = w.user_id AND n.i = w.i + 1),
+m AS (SELECT p.user_id, p.event_id AS pred, p.t AS pred_t, r.event_id AS ref, r.t AS ref_t FROM w JOIN p ON p.user_id = w.user_id AND p.i = w.i LEFT JOIN r ON r.user_id = w.user_id AND r.k = w.k)"""
+
+
+CLICKS, BUYS = of_type("clicks", "click"), of_type("buys", "purchase")
+MATCHED = f"WITH RECURSIVE {E}, {BUYS}, {CLICKS}, {matched_sql(2 * HOUR)}"
+USER_COUNTS = """c AS (SELECT user_id, count(*) FILTER (WHERE k = 'b') AS refs, count(*) FILTER (WHERE k = 'c') AS preds FROM (SELECT user_id, 'b' AS k FROM buys UNION ALL SELECT user_id, 'c' FROM clicks) GROUP BY user_id),
+h AS (SELECT user_id, count(*) AS tp FROM m WHERE ref IS NOT NULL GROUP BY user_id),
+u AS (SELECT user_id, coalesce(tp, 0) AS tp, preds - coalesce(tp, 0) AS fp, refs - coalesce(tp, 0) AS fn FROM c LEFT JOIN h USING (user_id))"""
+SUMS = "CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn"
+
+
+@query(f"{MATCHED} SELECT user_id, ref, pred, ref_t, pred_t FROM m WHERE ref IS NOT NULL")
 def match_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     return folds.match_one_to_one(events(spark, sf, "purchase"), events(spark, sf, "click"), USER, "t", 2 * HOUR, "event_id")
 
 
-@query()
+@query(f"{MATCHED}, {USER_COUNTS}, s AS (SELECT user_id, {SUMS} FROM u GROUP BY ROLLUP (user_id)) SELECT user_id, tp, fp, fn, {scores_sql()} FROM s")
 def score_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks as detections of purchases: counts and scores per user and in total (null user)."""
     refs, preds = events(spark, sf, "purchase"), events(spark, sf, "click")
@@ -29,27 +49,56 @@ def score_detections(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.totals(metrics.score_matches(refs, preds, pairs, USER), USER)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, n AS (SELECT *, row_number() {TIMELY} i, count(*) OVER (PARTITION BY user_id) AS size FROM e),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, false AS armed, false AS fell, CAST(0 AS BIGINT) AS pt, 0e0 AS pv, size FROM n
+  UNION ALL SELECT n.user_id, n.i, CASE WHEN w.armed THEN n.value >= w.pv * 0.3e0 ELSE n.value > 100 END, w.armed AND n.value < w.pv * 0.3e0,
+    CASE WHEN n.value > CASE WHEN w.armed THEN w.pv ELSE 100 END THEN n.t ELSE w.pt END, CASE WHEN n.value > CASE WHEN w.armed THEN w.pv ELSE 100 END THEN n.value ELSE w.pv END, n.size FROM w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+SELECT user_id, pt AS t, pv AS value FROM w WHERE fell OR (armed AND i = size)""")
 def hysteresis_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return folds.hysteresis_peaks(events(spark, sf), USER, ["t", "event_id"], "t", "value", 100.0, 0.3)
 
 
-@query()
+def suppressed_sql(t: str, gap: int) -> str:
+    """Walk by score: a row stays unless a kept one is closer than gap."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM n),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept, false AS keep FROM n
+  UNION ALL SELECT o.user_id, o.rank, CASE WHEN len(list_filter(w.kept, lambda x: abs(x - o.{t}) < {gap})) = 0 THEN list_append(w.kept, o.{t}) ELSE w.kept END, len(list_filter(w.kept, lambda x: abs(x - o.{t}) < {gap})) = 0 FROM w JOIN o ON o.user_id = w.user_id AND o.rank = w.rank + 1)
+SELECT o.user_id, o.event_id, o.{t}, o.value FROM w JOIN o ON o.user_id = w.user_id AND o.rank = w.rank WHERE w.keep"""
+
+
+@query(f"WITH RECURSIVE {E}, n AS (SELECT * FROM e), {suppressed_sql('t', 6 * HOUR)}")
 def nms_time(spark: SparkSession, sf: str) -> DataFrame:
     return folds.suppress(events(spark, sf), USER, "t", "value", 6 * HOUR, "event_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, n AS (SELECT *, row_number() {TIMELY} i FROM e), {suppressed_sql('i', 4)}")
+def nms_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over row numbers: no two kept rows of a user within three rows."""
+    numbered = events(spark, sf).withColumn("i", F.row_number().over(w.ordered(USER, ["t", "event_id"])).cast("long"))
+    return folds.suppress(numbered, USER, "i", "value", 4, "event_id")
+
+
+@query(f"""WITH RECURSIVE {E}, n AS (SELECT *, row_number() {TIMELY} i FROM e),
+w AS (SELECT user_id, i, event_id, t, value, 1 AS g FROM n WHERE i = 1
+  UNION ALL SELECT n.user_id, n.i, CASE WHEN n.t - w.t < {6 * HOUR} AND n.value <= w.value THEN w.event_id ELSE n.event_id END, CASE WHEN n.t - w.t < {6 * HOUR} AND n.value <= w.value THEN w.t ELSE n.t END,
+    CASE WHEN n.t - w.t < {6 * HOUR} AND n.value <= w.value THEN w.value ELSE n.value END, CASE WHEN n.t - w.t < {6 * HOUR} THEN w.g ELSE w.g + 1 END FROM w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1)
+SELECT user_id, arg_max(event_id, i) AS event_id, arg_max(t, i) AS t, arg_max(value, i) AS value FROM w GROUP BY user_id, g""")
 def merge_close(spark: SparkSession, sf: str) -> DataFrame:
     return folds.merge_close(events(spark, sf), USER, "t", "value", 6 * HOUR, "event_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {BUYS}, {CLICKS}, {matched_sql(DAY // 4, nearest=True, refs='clicks', preds='buys')} SELECT user_id, pred AS event_id, pred_t AS t, ref AS candidate FROM m")
 def confirm_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return folds.confirm_in_order(events(spark, sf, "purchase"), events(spark, sf, "click"), USER, "t", DAY // 4, "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT p_brand, p_partkey, p_retailprice, substr(p_type, 1, 5) AS kind, CAST(p_partkey % 37 AS DOUBLE) AS x, CAST(p_partkey % 23 AS DOUBLE) AS y, CAST(p_size % 20 + 5 AS DOUBLE) AS w, CAST(p_size % 11 + 5 AS DOUBLE) AS h FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand, kind ORDER BY p_retailprice DESC, p_partkey) AS i FROM x),
+pairs AS (SELECT a.p_brand, a.kind, a.i, b.i AS k, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared, a.w * a.h + b.w * b.h AS sizes FROM b a JOIN b ON b.p_brand = a.p_brand AND b.kind = a.kind AND b.i < a.i),
+n AS (SELECT b.*, coalesce(o.ks, []) AS ks FROM b LEFT JOIN (SELECT p_brand, kind, i, list(k) AS ks FROM pairs WHERE shared / (sizes - shared) > 0.45e0 GROUP BY p_brand, kind, i) o ON o.p_brand = b.p_brand AND o.kind = b.kind AND o.i = b.i),
+walk AS (SELECT DISTINCT p_brand, kind, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, false AS keep FROM b
+  UNION ALL SELECT n.p_brand, n.kind, n.i, CASE WHEN list_has_any(n.ks, walk.kept) THEN walk.kept ELSE list_append(walk.kept, n.i) END, NOT list_has_any(n.ks, walk.kept) FROM walk JOIN n ON n.p_brand = walk.p_brand AND n.kind = walk.kind AND n.i = walk.i + 1)
+SELECT b.p_brand, b.kind, b.p_partkey, b.p_retailprice FROM walk JOIN b ON b.p_brand = walk.p_brand AND b.kind = walk.kind AND b.i = walk.i WHERE walk.keep""")
 def box_iou_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes from part sizes, suppressed within each brand and type."""
     key = F.col("p_partkey")
@@ -255,7 +304,8 @@ def slugify(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", s.slug_base(F.col("url")).alias("slug"))
 
 
-@query()
+@query("""WITH f AS (SELECT page_id, strip_accents(url) AS name, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS fnv FROM pages)
+SELECT page_id, substr(regexp_replace(regexp_replace(lower(regexp_replace(name, '\\.[^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) || '-' || format('{:08x}', fnv) AS slug FROM f""")
 def slugify_fnv(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", s.slugify(F.col("url")).alias("slug"))
 
