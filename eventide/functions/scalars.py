@@ -169,3 +169,18 @@ def trim_bounds(samples: Column, ratio: float) -> Column:
     peak = F.aggregate(samples, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
     loud = F.filter(F.transform(samples, lambda x, i: F.when(F.abs(x) >= peak * ratio, i)), lambda i: i.isNotNull())
     return F.when(peak > 0, F.struct(F.element_at(loud, 1).alias("first"), F.element_at(loud, -1).alias("last")))
+
+
+def frame_index(t: Column, start: Column, fps: float) -> Column:
+    """Number of the frame that shows a time."""
+    return js_round((t - start) * fps)
+
+
+def iso_date(t: Column) -> Column:
+    """UTC time as ISO text with milliseconds (of a session in UTC)."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """Share as a percentage to show; a null or undefined one is a dash."""
+    return F.when(share.isNull() | F.isnan(share), "-").otherwise(F.concat(F.round(share * 100, digits).cast(f"decimal(18,{digits})").cast("string"), F.lit("%")))

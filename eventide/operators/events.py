@@ -121,3 +121,35 @@ def splice_plan(shots: DataFrame, keys: list[str], t: str, total: int, lead: int
     out = placed.withColumn("_bound", bound).withColumn("insert_end", insert_end)
     out = out.withColumn("mute_end", F.least(F.col("insert_end") + fade, F.col("_bound")))
     return out.withColumn("duck_end", F.least(F.col("mute_end") + budget, F.col("_bound"))).drop("_bound")
+
+
+def splice_windows(shots: DataFrame, keys: list[str], t: str, total: int, clip: int, order: tuple | list = (), budget: int | None = None, mute: int | None = None, decay: str | None = None, extension: int = 0) -> DataFrame:
+    """Per shot ``insert_end, mute_end, duck_end``, never beyond the next shot or the end; shots without room go.
+
+    The policy is the first that is given: budget (the original fades in over what the clip leaves of it), mute (muted
+    for that long, which also ends the clip) or decay (a column: muted until the sound has decayed, at most extension after the clip).
+    """
+    following = F.lead(t).over(windows.ordered(keys, [t, *order]))
+    bound = F.least(F.coalesce(following, F.lit(total)), F.lit(total))
+    placed = shots.withColumn("_bound", bound).withColumn("insert_end", F.least(F.col(t) + clip, "_bound"))
+    if budget is not None:
+        left = F.greatest(F.lit(0), F.lit(budget) - (F.col("insert_end") - F.col(t)))
+        out = placed.withColumn("mute_end", F.col("insert_end")).withColumn("duck_end", F.least(F.col("insert_end") + left, "_bound"))
+    elif mute is not None:
+        out = placed.withColumn("mute_end", F.least(F.col(t) + mute, "_bound"))
+        out = out.withColumn("insert_end", F.least("insert_end", "mute_end")).withColumn("duck_end", F.col("mute_end"))
+    else:
+        out = placed.withColumn("mute_end", F.least(F.greatest("insert_end", F.coalesce(F.col(decay), F.col("insert_end"))), F.col("insert_end") + extension, F.col("_bound")))
+        out = out.withColumn("duck_end", F.col("mute_end"))
+    return out.where(F.col("insert_end") > F.col(t)).drop("_bound")
+
+
+def decay_ends(series: DataFrame, keys: list[str], order: list[str], value: str, ratio: float, hold: int, most: int) -> DataFrame:
+    """series with ``decay``: rows from a row to where its value has decayed, i.e. the first of ``hold`` rows in a row
+    at or under ratio times it; without such, the rows that are left, ``most`` at most. A row of value 0 has decayed at once."""
+    ahead = F.collect_list(value).over(windows.ordered(keys, order).rowsBetween(0, most - 1))
+    calm = F.transform(F.col("_ahead"), lambda v: v <= F.col("_ahead")[0] * ratio)
+    held = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_ahead") - hold + 1)), lambda i: (F.size(F.slice(F.col("_calm"), i, hold)) == hold) & F.forall(F.slice(F.col("_calm"), i, hold), lambda c: c))
+    at = F.array_position(held, True)
+    out = series.withColumn("_ahead", ahead).withColumn("_calm", calm)
+    return out.withColumn("decay", F.when(F.col(value) == 0, 0).when(at > 0, at - 1).otherwise(F.size("_ahead")).cast("long")).drop("_ahead", "_calm")
