@@ -2,11 +2,13 @@
 
 The DOMs of a host are merged by element path: every path has the presentation
 styles (child sequences) and the contents (texts) that the host's pages show
-there. Entropies over the host's pages give a path's importance: a branch that
-looks and reads the same everywhere is a site's frame. Low branches are cut
-from every page, as are elements whose tag, role or class names a frame
-(navigation, footers, adverts, forms ...); an article or main element is kept
-whole otherwise, however often its text repeats.
+there. Entropies over the host's distinct pages give a path's importance: a
+branch that looks and reads the same everywhere is a site's frame. Low
+branches are cut from every page, inside articles as elsewhere, as are elements
+whose tag, role or class names a frame (navigation, footers, adverts, forms
+...). Pages with the same text count once, and a page that was never seen
+stands beside those that were, so few pages or copies of one text cut nothing.
+A text that repeats under a path with other texts stays in an article.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ GAMMA = 0.9
 LOW = 0.2
 #: Pages' low nodes are broadcast up to so many keys of 8 bytes, and joined by a shuffle beyond.
 BROADCAST_KEYS = 500_000
-#: A host with fewer pages says nothing.
-MIN_PAGES = 8
+#: Pages that are taken to exist beside the seen ones, each with contents of its own.
+UNSEEN = 6
+#: Elements nested deeper become siblings of the one at this depth, as browsers do.
+DEPTH = 512
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)|<(?=[!?])")
+STOP = re.compile(r"[\"'<>]")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -58,15 +63,16 @@ LANDMARKS = {"article", "main"}
 
 
 class Page:
-    """A parsed page: nodes ``(parent, tag, path, frame, landmark)`` and blocks ``(node, text)`` in page order."""
+    """A parsed page: nodes ``(parent, tag, path hash, frame, landmark)`` and blocks ``(node, text)`` in page order."""
 
     def __init__(self, html: str):
-        self.parents, self.tags, self.paths, self.frames, self.styles = [-1], [""], [""], [False], [[]]
+        self.parents, self.tags, self.paths, self.frames, self.styles = [-1], [""], [0], [False], [[]]
         self.blocks: list[tuple[int, str]] = []
         self.landmarks: list[int] = []
         self._parse(html)
 
     def _open(self, tag: str, attributes: str) -> int:
+        del self.stack[DEPTH:]
         parent = self.stack[-1]
         label, frame = tag, tag in FRAME_TAGS
         if attributes and not attributes.isspace() and tag not in ("html", "body", "main"):
@@ -85,7 +91,7 @@ class Page:
         node = len(self.parents)
         self.parents.append(parent)
         self.tags.append(tag)
-        self.paths.append(f"{self.paths[parent]}/{label}")
+        self.paths.append(_hash(f"{self.paths[parent]}/{label}"))
         self.frames.append(frame)
         self.styles.append([])
         if tag in BLOCK and (not self.styles[parent] or self.styles[parent][-1] != label):  # runs of a tag are one style
@@ -95,7 +101,7 @@ class Page:
         return node
 
     def _parse(self, html: str) -> None:
-        self.stack, text, owner, at, end = [0], [], 0, 0, len(html)
+        self.stack, text, owner, at, end, quotes = [0], [], 0, 0, len(html), {}
 
         def flush() -> None:
             nonlocal text
@@ -106,16 +112,18 @@ class Page:
                 text = []
 
         while at < end:
-            m = TOKEN.search(html, at)
+            m = TAG.search(html, at)
             if not m:
                 text.append(html[at:])
                 break
             if m.start() > at:
                 text.append(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            if not m[2]:
+                at = _markup_end(html, m.start())
                 continue
+            tag, inner = m[2].lower(), m.end()
+            close = _tag_end(html, inner, quotes)
+            attributes, at = html[inner:close], close + (html[close : close + 1] == ">")
             if m[1]:
                 opened = next((k for k in range(len(self.stack) - 1, 0, -1) if self.tags[self.stack[k]] == tag), 0)
                 if tag in BLOCK or tag in FRAME_TAGS or tag == "br":
@@ -132,8 +140,9 @@ class Page:
                 if tag in BLOCK or tag in FRAME_TAGS:
                     flush()
                     self._imply_ends(tag)
-                if not m[3].endswith("/") or tag in BLOCK:
-                    self.stack.append(self._open(tag, m[3]))
+                if not attributes.endswith("/") or tag in BLOCK:
+                    node = self._open(tag, attributes)
+                    self.stack.append(node)
             if not text:
                 owner = self._block_of(self.stack[-1])
         flush()
@@ -166,12 +175,12 @@ class Page:
 
     def settle(self) -> None:
         """``framed`` and ``inside``: if a node lies in a frame, or in a landmark. A frame named by class that holds the landmark with most text is the page's own wrapper."""
-        size = dict.fromkeys(self.landmarks, 0)
-        for node, text in self.blocks if len(size) > 1 else []:
-            for a in self.lineage(node):
-                if a in size:
-                    size[a] += len(text)
-        largest = max(size, key=size.get, default=0)  # the first, and so the outer, of equals
+        size = [0] * len(self.parents)
+        for node, text in self.blocks if len(self.landmarks) > 1 else []:
+            size[node] += len(text)
+        for node in range(len(size) - 1, 0, -1):  # parents come before their children
+            size[self.parents[node]] += size[node]
+        largest = max(self.landmarks, key=size.__getitem__, default=0)  # the first, and so the outer, of equals
         wrappers = {a for a in self.lineage(largest)[1:] if self.tags[a] not in FRAME_TAGS}
         self.framed, self.inside = [False], [False]
         for node in range(1, len(self.parents)):
@@ -179,40 +188,73 @@ class Page:
             self.framed.append(self.framed[parent] or (self.frames[node] and node not in wrappers))
             self.inside.append(self.inside[parent] or (self.tags[node] in LANDMARKS and not self.frames[node] and not self.framed[node]))
 
+    def cut_by(self, low: set[int]) -> list[bool]:
+        """If a node lies in a low branch. A landmark and what holds it is no branch of its contents."""
+        found = [False]
+        for node in range(1, len(self.parents)):
+            parent = self.parents[node]
+            starts = self.inside[node] and not self.inside[parent]
+            found.append(not starts and (found[parent] or self.paths[node] in low))
+        return found
+
+
+def _markup_end(html: str, at: int) -> int:
+    """End of a comment, CDATA section, declaration or instruction that starts at ``at``."""
+    opening, closing = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if html.startswith(o, at)), ("<", ">"))
+    end = html.find(closing, at + len(opening))
+    return end + len(closing) if end >= 0 else len(html)
+
+
+def _tag_end(html: str, at: int, quotes: dict) -> int:
+    """Where a tag ends: at its ``>``, before a ``<``, or at the end. A quote that doesn't close, or closes only
+    amid later markup, is a plain character. quotes remembers the next quotation marks, so that none is sought twice."""
+    while m := STOP.search(html, at):
+        if m[0] in "<>":
+            return m.start()
+        at = m.end()
+        start, close = quotes.get(m[0], (0, -2))
+        if not (start <= at and (close == -1 or at <= close)):
+            start, close = quotes[m[0]] = at, html.find(m[0], at)
+        if close >= 0 and (html[close + 1 : close + 2] in " \t\r\n/>" or html.find("<", at, close) < 0):
+            at = close + 1
+    return len(html)
+
 
 def _hash(*parts: str) -> int:
     h = xxhash.xxh64_intdigest("\x00".join(parts))
     return h - 2**64 if h >= 2**63 else h
 
 
-def features(html: str | None) -> tuple[list, dict, list]:
-    """(leaves ``(path, text, open)``, ancestors by path, elements ``(path, style)``), hashed and distinct, of a page.
+def features(html: str | None) -> tuple[int, list, dict, list]:
+    """(content, leaves ``(path, text, kind)``, ancestors by path, elements ``(path, style)``), hashed and distinct, of a page.
 
-    open: neither in a frame nor in a landmark, so that statistics decide.
+    content is the hash of the text outside named frames. kind: 1 framed, 2 open, 5 in a landmark.
     """
     page = Page(html or "")
     page.settle()
-    keys = [_hash(p) for p in page.paths]
     leaves, above = {}, {}
     for node, text in page.blocks:
-        leaf = (keys[node], _hash(page.paths[node], text))
-        leaves[leaf] = leaves.get(leaf, False) or not (page.framed[node] or page.inside[node])
-        if keys[node] not in above:
-            above[keys[node]] = [keys[a] for a in page.lineage(node)]
-    elements = {(keys[n], _hash(*page.styles[n])) for n in range(1, len(page.parents)) if page.tags[n] in BLOCK}
-    return [(*leaf, is_open) for leaf, is_open in leaves.items()], above, list(elements)
+        leaf = (page.paths[node], _hash(str(page.paths[node]), text))
+        leaves[leaf] = max(leaves.get(leaf, 1), 1 if page.framed[node] else 5 if page.inside[node] else 2)
+        if page.paths[node] not in above:
+            above[page.paths[node]] = [page.paths[a] for a in page.lineage(node)]
+    elements = {(page.paths[n], _hash(*page.styles[n])) for n in range(1, len(page.parents)) if page.tags[n] in BLOCK}
+    landmark = any(kind == 5 for kind in leaves.values())
+    content = _hash(*[t for n, t in page.blocks if not page.framed[n] and page.inside[n] == landmark])
+    return content, [(*leaf, kind) for leaf, kind in leaves.items()], above, list(elements)
 
 
 def extract(html: str | None, low: set[int] = frozenset()) -> str:
-    """Main text of a page without its frames and without the branches and texts in low."""
+    """Main text of a page without its frames and without the branches in low, nor the texts in low that lie in no landmark."""
     page = Page(html or "")
     page.settle()
     landmark = any(page.inside[n] and not page.framed[n] for n, _ in page.blocks)
+    cut = page.cut_by(low) if low else None
     kept = []
     for node, text in page.blocks:
         if page.framed[node] or (landmark and not page.inside[node]):
             continue
-        if low and not page.inside[node] and (not low.isdisjoint(_hash(page.paths[a]) for a in page.lineage(node)) or _hash(page.paths[node], text) in low):
+        if cut and (cut[node] or (not page.inside[node] and _hash(str(page.paths[node]), text) in low)):
             continue
         kept.append(text)
     return " ".join(kept)
@@ -223,42 +265,44 @@ def host_of(url: Column) -> Column:
 
 
 def site_features(pages: DataFrame) -> DataFrame:
-    """``(host, page, key, other, kind, ancestors)`` of pages ``(host, page, html)``: kind 0 page, 1 framed or
-    landmark leaf, 2 open leaf, 3 element, 4 path (of page 0). Paths and open leaves have their ancestors."""
+    """``(host, page, content, key, other, kind, ancestors)`` of pages ``(host, page, html)``: kind 0 page, 1 framed
+    leaf, 2 open leaf, 3 element, 4 path (of page 0), 5 leaf in a landmark. Paths and open leaves have their ancestors."""
 
     def run(batches):
         for batch in batches:
             host, page = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             rows, paths = [], {}
             for h, p, html in zip(host.tolist(), page.tolist(), batch.column(2), strict=True):
-                leaves, above, elements = features(html.as_py())
-                rows.append((h, p, 0, 0, 0, None))
-                rows += [(h, p, path, text, 1 + is_open, above[path] if is_open else None) for path, text, is_open in leaves]
-                rows += [(h, p, path, style, 3, None) for path, style in elements]
+                content, leaves, above, elements = features(html.as_py())
+                rows.append((h, p, content, 0, 0, 0, None))
+                rows += [(h, p, content, path, text, kind, above[path] if kind == 2 else None) for path, text, kind in leaves]
+                rows += [(h, p, content, path, style, 3, None) for path, style in elements]
                 paths |= {(h, path): up for path, up in above.items()}
-            rows += [(h, 0, path, 0, 4, up) for (h, path), up in paths.items()]
+            rows += [(h, 0, 0, path, 0, 4, up) for (h, path), up in paths.items()]
             if rows:
                 columns = list(zip(*rows, strict=True))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "key", "other", "kind", "ancestors"])
+                types = (*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "page", "content", "key", "other", "kind", "ancestors"])
 
-    return pages.mapInArrow(run, "host long, page long, key long, other long, kind int, ancestors array<long>")
+    return pages.mapInArrow(run, "host long, page long, content long, key long, other long, kind int, ancestors array<long>")
 
 
 def importance(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(branches ``(host, key, importance)``, texts ``(host, key, importance)``) of the hosts with MIN_PAGES pages at least.
+    """(branches ``(host, key, importance)``, texts ``(host, key, importance)``) of every host.
 
-    A text on q of a host's n pages has importance 1 - log q / log n; a
-    branch's is (1 - GAMMA^l) times the entropy of its l presentation styles
-    plus GAMMA^l times the mean importance of the texts below it.
+    Pages of one content count once. A text on q of a host's n contents has
+    importance 1 - log q / log (n + UNSEEN); a branch's is (1 - GAMMA^l) times
+    the entropy of its l presentation styles plus GAMMA^l times the mean
+    importance of the texts below it. A host's only page loses nothing.
     """
-    pages = found.where("kind = 0").groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    leaves = found.where("kind IN (1, 2)").groupBy("host", "key", "other").agg(F.count("*").alias("q"))
-    leaves = leaves.join(pages, "host").withColumn("importance", 1 - F.log("q") / F.log("n"))
+    shown = found.where("kind != 4").select("host", "content", "key", "other", F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 3).otherwise(1).alias("kind")).distinct()
+    counted = shown.groupBy("host", "kind", "key", "other").agg(F.count("*").alias("q"))
+    pages = counted.where("kind = 0").select("host", F.col("q").alias("n"))
+    leaves = counted.where("kind = 1").join(pages, "host").withColumn("importance", 1 - F.log("q") / F.log(F.col("n") + UNSEEN))
     by_path = leaves.groupBy("host", "key").agg(F.sum(F.col("q") * F.col("importance")).alias("s"), F.sum("q").alias("q"))
     by_path = by_path.join(found.where("kind = 4").select("host", "key", "ancestors"), ["host", "key"])
     content = by_path.select("host", F.explode("ancestors").alias("key"), "s", "q").groupBy("host", "key").agg((F.sum("s") / F.sum("q")).alias("content"))
-    styles = found.where("kind = 3").groupBy("host", "key", "other").agg(F.count("*").alias("c"))
+    styles = counted.where("kind = 3").withColumnRenamed("q", "c")
     clog = F.sum(F.col("c") * F.log("c"))
     styles = styles.groupBy("host", "key").agg(F.sum("c").alias("m"), clog.alias("clog"), F.count("*").alias("l"))
     presentation = F.when(F.col("m") > 1, (F.log("m") - F.col("clog") / F.col("m")) / F.log("m")).otherwise(1.0)
@@ -274,7 +318,7 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     A null html is an empty page; a null or odd url belongs to the nameless
     host; repeated rows count as one page of their site and get equal texts; an
     empty table gives no rows. Markup may be broken anywhere: unclosed
-    elements end with their parents.
+    elements end with their parents, tags without an end before the next one.
     """
     bounded_batches(pages.sparkSession)
     page_key, host = F.xxhash64(url_col, html_col), F.xxhash64(host_of(F.col(url_col)))
@@ -284,7 +328,10 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     branches, texts = importance(found)
     cut = checkpointed(branches.where(F.col("importance") < low).select("host", "key").union(texts.where(F.col("importance") < low).select("host", "key")).distinct())
     own = found.where("kind = 2").select("host", "page", F.explode(F.concat("ancestors", F.array("other"))).alias("key")).distinct()
-    hits = own.join(cut, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("key").alias("low"))  # a page's own nodes only
+    own = own.join(cut, ["host", "key"], "left_semi").select("page", "key")
+    below = found.where("kind = 4").select("host", F.col("key").alias("leaf"), F.explode("ancestors").alias("key")).join(cut, ["host", "key"], "left_semi").distinct()
+    inner = found.where("kind = 5").select("host", "page", F.col("key").alias("leaf")).distinct().join(below, ["host", "leaf"]).select("page", "key")
+    hits = own.union(inner).groupBy("page").agg(F.collect_set("key").alias("low"))  # a page's own nodes only
     hits = checkpointed(hits.select(F.col("page").alias("_hit_page"), F.col("low").alias("_low")))
     size = hits.agg(F.sum(F.size("_low") + 1)).first()[0] or 0
     own_key = F.xxhash64(pages[url_col], pages[html_col])
