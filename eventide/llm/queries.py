@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree
-from .common import table
+from . import cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree, warc
+from .common import shared_folder, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +71,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.warc_records(pages, "page_id", "url", "html"), folder)
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_records(spark, folder)
+    return found.select(
+        F.col("key").cast(kind).alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to_key").cast(kind).alias("refers_to"),
+        "intact",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_source_mixing, op3_embedding_near_dedup, op4_html_extraction, op5_merkle_fingerprints,
-        op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id,
+        op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id, op13_warc,
     )
 }
 
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": license_rules.oracle_sql()}
+ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": license_rules.oracle_sql(), "op13_warc": warc.ORACLE_SQL}
