@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree, warc
+from . import conversations, cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree, warc
 from .common import shared_folder, table
 
 
@@ -71,6 +71,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(given), given)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -91,8 +96,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_source_mixing, op3_embedding_near_dedup, op4_html_extraction, op5_merkle_fingerprints,
-        op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id, op13_warc,
+        op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id,
+        op11_conversation_repair, op13_warc,
     )
 }
 
-ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": license_rules.oracle_sql(), "op13_warc": warc.ORACLE_SQL}
+ORACLES = {"op6_line_dedup": line_dedup.ORACLE_SQL, "op9_license_scan": license_rules.oracle_sql(), "op11_conversation_repair": conversations.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
