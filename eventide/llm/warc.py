@@ -75,7 +75,7 @@ def warc_records(pages: DataFrame, ident: str, uri: str, payload: str, least: in
     rank = F.struct(F.col("ident").isNull().alias("none"), "ident", F.col("uri").isNull().alias("bare"), "uri")
     own = F.when(F.col("bytes") < least, rank)
     keys = ["digest", "bytes", "own"]
-    copies = rows.groupBy("digest", "bytes", own.alias("own"), rank.alias("rank")).agg(F.count("*").alias("n"))
+    copies = checkpointed(rows.groupBy("digest", "bytes", own.alias("own"), rank.alias("rank")).agg(F.count("*").alias("n")))
     groups = copies.groupBy(*keys).agg(F.min("rank").alias("first"), F.sum("n").alias("n"))
     # responses: any payload of the group, chunk by chunk
     last = F.greatest(F.ceil(F.col("bytes") / chunk) - 1, F.lit(0)).cast("int")
