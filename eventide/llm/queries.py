@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree, warc
+from . import conversations, cross_polytope, kneser_ney, langid, license_rules, line_dedup, merkle, mixing, sentencepiece_codec, simhash, style_tree, warc, whitening
 from .common import shared_folder, table
 
 
@@ -76,6 +76,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(conversations.damaged(given), given)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -97,7 +101,7 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup, op2_source_mixing, op3_embedding_near_dedup, op4_html_extraction, op5_merkle_fingerprints,
         op6_line_dedup, op7_sentencepiece, op8_quality_classifier, op9_license_scan, op10_language_id,
-        op11_conversation_repair, op13_warc,
+        op11_conversation_repair, op12_embedding_whitening, op13_warc,
     )
 }
 
