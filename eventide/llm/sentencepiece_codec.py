@@ -31,7 +31,7 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Parts of texts that a worker keeps encoded, and the longest that it keeps.
 HELD_PARTS, HELD_CHARS = 200_000, 64
-#: New parts that are encoded in one go.
+#: New parts of a BPE model that are encoded in one go.
 JOINED = 256
 
 
@@ -216,9 +216,13 @@ class Codec:
         return np.frombuffer(b"".join(found), np.int32), [len(x) // 4 for x in found], decoded
 
     def _learn(self, parts: set[str]) -> None:
-        """Encode and decode new parts, JOINED at a time: pieces don't go over their markers, so ids can be told apart again."""
-        new = list(parts)
-        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        """Encode and decode new parts. Of BPE models, JOINED at a time: pieces don't go over their markers, so ids can be told apart again.
+
+        A unigram path's score is a sum over all that is joined, and rounding it could decide between equal paths by
+        what stands beside a part; those parts are encoded alone.
+        """
+        new, size = sorted(parts), JOINED if self.model.kind == BPE else 1
+        groups = [new[i : i + size] for i in range(0, len(new), size)]
         encoded = [np.array(e.ids, np.int32) for e in self.part.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
         back = self.part.decode_batch(encoded, skip_special_tokens=False)
         for group, ids, text in zip(groups, encoded, back, strict=True):

@@ -1,6 +1,10 @@
 """The codec against the reference library: models of both kinds, built piece by piece (never trained)."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 import sentencepiece
@@ -59,6 +63,23 @@ def test_unigram_models(options, extra):
     assert at == len(flat)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 7, 18, 19, 23])
+def test_ids_do_not_depend_on_hash_order(seed):
+    """Workers hash strings with seeds of their own: ids of tied unigram paths stay those of the reference library."""
+    here = Path(__file__).resolve()
+    body = f"""
+import sys
+sys.path[:0] = [{str(here.parents[2])!r}, {str(here.parent)!r}]
+import test_sentencepiece as t
+from eventide.llm import sentencepiece_codec as codec
+data = t.unigram(user=["fad", "@@", "ab"], byte_fallback=True)
+own, want = codec.Codec(codec.parse(data)), t.sentencepiece.SentencePieceProcessor(model_proto=data)
+flat, sizes, _ = own.run(t.texts("@"))
+assert list(flat) == [i for text in t.texts("@") for i in want.encode(text)]
+"""
+    subprocess.run([sys.executable, "-c", body], env=os.environ | {"PYTHONHASHSEED": str(seed)}, check=True, timeout=120)
+
+
 def test_parts_give_what_whole_texts_give():
     """The installed model: ids of parts are those of the whole text and of the reference library."""
     own, want = codec.load(codec.default_model())
