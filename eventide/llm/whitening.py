@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +34,8 @@ CERTAIN = 1e-10
 RANK = 1e-12
 #: Bytes of a block as doubles, and tasks that sums meet in.
 BLOCK, MEETING = 4 << 20, 8
+#: Packed bytes of a pass's task.
+TASK = 64 << 20
 #: Entries are held within this.
 MOST = 2.0**62
 
@@ -107,22 +108,24 @@ def distinct_blocks(df: DataFrame, vector: str) -> DataFrame:
 def _summed(blocks: DataFrame, size: int, kind: type, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum of part(vectors), an array of that size, over all blocks: by task, then in MEETING tasks."""
 
+    def out(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, kind)
         for batch in batches:
             for dims, m, cells in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 total += part(np.frombuffer(cells, np.int16 if len(cells) == 2 * dims * m else np.int64).reshape(m, dims))
-        slot = TaskContext.get().partitionId() % MEETING
-        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
+        yield out(total)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, kind)
         for batch in batches:
-            for cell in batch.column(1):
+            for cell in batch.column(0):
                 total += np.frombuffer(cell.as_py(), kind)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
+        yield out(total)
 
-    sums = blocks.mapInArrow(first, "slot int, sums binary").repartition(MEETING, "slot").mapInArrow(second, "slot int, sums binary")
+    sums = blocks.mapInArrow(first, "sums binary").repartition(MEETING).mapInArrow(second, "sums binary")
     total = np.zeros(size, kind)
     for row in sums.collect():  # MEETING rows
         total += np.frombuffer(row.sums, kind)
@@ -282,8 +285,10 @@ def whitened(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", k:
     holds is null. Other columns of df aren't looked at.
     """
     blocks = checkpointed(distinct_blocks(df, vector))
-    common = blocks.groupBy("dims").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), F.desc("dims")).first()
-    blocks = blocks.where(F.col("dims") == (common.dims if common else 0))
+    common = blocks.groupBy("dims").agg(F.sum("m").alias("m"), F.sum(F.octet_length("cells")).alias("bytes")).orderBy(F.desc("m"), F.desc("dims")).first()
+    # every pass is a job over all blocks: as many tasks as they need, not as many as the shuffle had
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, common.bytes // TASK + 1 if common else 1)
+    blocks = blocks.where(F.col("dims") == (common.dims if common else 0)).coalesce(tasks)
     found = fit(blocks, k)
     error = identity_error(blocks, found)
     d, count, n, sums = len(found.sums), len(found.values), found.n, found.sums
