@@ -1,9 +1,8 @@
-"""Order-dependent operators as folds over short arrays.
+"""Order-dependent operators: peaks, suppression, one-to-one matching and slot tracks, as folds that stream over sorted rows.
 
-A fold runs over one array, so series are first cut where the state provably
-resets: matches and suppression never reach across a gap above their
-tolerance, and hysteresis is disarmed by any value under the valley of its
-threshold. The arrays hold one such stretch, however long the series is.
+Series are cut where the state provably resets (matches, suppression and
+tracks never reach across a gap above their tolerance); what lies between two
+cuts passes through one task with a bounded state, however long it is.
 """
 
 from __future__ import annotations
@@ -13,75 +12,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import sessionize, so_far
+from . import streams
+from .streams import chained, streamed
 
 Names = Sequence[str]
 
 
 def hysteresis_peaks(df: DataFrame, keys: Names, order: Names, t: str, value: str, threshold: float, valley: float) -> DataFrame:
     """``(keys, t, value)`` of the peaks: armed by a value above the threshold, the largest
-    value (the first of equals) is emitted when one falls under valley times it, or at the end."""
-    clear = F.when(F.col(value) < valley * threshold, 1).otherwise(0)
-    cut = df.withColumn("_clear", clear).withColumn("_part", F.sum("_clear").over(so_far(keys, order)))
-    loud = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"))))
-    parts = cut.groupBy(*keys, "_part").agg(F.max(value).alias("_top"), loud.alias("_rows")).where(F.col("_top") > threshold)
-    empty = F.array().cast("array<struct<t:double,v:double>>")
-    start = F.struct(F.lit(False).alias("armed"), F.lit(0.0).alias("pt"), F.lit(0.0).alias("pv"), empty.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        v = x["_v"]
-        peak = F.struct(s["pt"].alias("t"), s["pv"].alias("v"))
-        rises = s["armed"] & (v > s["pv"])
-        falls = s["armed"] & (v < s["pv"] * valley)
-        arms = ~s["armed"] & (v > threshold)
-        return F.struct(
-            ((s["armed"] & ~falls) | arms).alias("armed"),
-            F.when(rises | arms, x["_t"]).otherwise(s["pt"]).alias("pt"),
-            F.when(rises | arms, v).otherwise(s["pv"]).alias("pv"),
-            F.when(falls, F.array_append(s["out"], peak)).otherwise(s["out"]).alias("out"),
-        )
-
-    def finish(s: Column) -> Column:
-        return F.when(s["armed"], F.array_append(s["out"], F.struct(s["pt"].alias("t"), s["pv"].alias("v")))).otherwise(s["out"])
-
-    peaks = parts.select(*keys, F.explode(F.aggregate("_rows", start, step, finish)).alias("p"))
-    return peaks.select(*keys, F.col("p.t").cast(df.schema[t].dataType).alias(t), F.col("p.v").alias(value))
-
-
-def _kept(rows: Column, gap, kept_struct: str) -> Column:
-    """Fold: keep a row unless a kept one lies closer than gap."""
-    empty = F.array().cast(f"array<{kept_struct}>")
-    return F.aggregate(rows, empty, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k["t"] - x["t"]) < gap), kept).otherwise(F.array_append(kept, x)))
+    value (the first of equals) is emitted when one falls under valley times it, or at the end. Null values are passed over."""
+    rows = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"))
+    out = f"`{t}` {df.schema[t].dataType.simpleString()}, `{value}` double"
+    return streamed(rows, keys, [], [f"_o{i}" for i in range(len(order))], ["_t", "_v", *[f"_o{i}" for i in range(len(order))]], out, lambda: _FirstTwo(streams.Peaks(threshold, valley)))
 
 
-def suppress(df: DataFrame, keys: Names, t: str, score: str, gap, ident: str) -> DataFrame:
-    """Greedy suppression: by score (highest first, then by ident) a row stays unless a kept one is closer than gap."""
-    chained = sessionize(df, keys, t, gap, [ident], "_chain")
-    row = F.struct((-F.col(score)).alias("s"), F.col(ident).alias("id"), F.col(t).alias("t"))
-    parts = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kept = _kept(F.col("rows"), gap, _type(df, score, ident, t))
-    return parts.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.id").alias(ident), F.col("k.t").alias(t), (-F.col("k.s")).alias(score))
+class _FirstTwo(streams.Machine):
+    """Passes on two columns; the others only sort."""
 
+    def __init__(self, inner: streams.Machine):
+        self.inner = inner
 
-def _type(df: DataFrame, score: str, ident: str, t: str) -> str:
-    kinds = dict(df.dtypes)
-    return f"struct<s:{kinds[score]},id:{kinds[ident]},t:{kinds[t]}>"
+    def feed(self, a, b, *_):
+        return self.inner.feed(a, b)
+
+    def close(self):
+        return self.inner.close()
+
+
+def suppress(df: DataFrame, keys: Names, t: str, score: str, gap, ident: str) -> DataFrame:
+    """Greedy suppression: by score (highest first, then by ident) a row stays unless a kept one is closer than gap. Rows without a score go."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (ident, t, score)}
+    rows = chained(df.where(F.col(score).isNotNull()), keys, t, gap)
+    return streamed(rows, keys, ["_chain"], [t, ident], [t, score, ident], f"`{ident}` {kinds[ident]}, `{t}` {kinds[t]}, `{score}` {kinds[score]}", lambda: streams.Suppressing(gap))
 
 
 def merge_close(df: DataFrame, keys: Names, t: str, score: str, gap, ident: str) -> DataFrame:
-    """In time order, a row closer than gap to a kept one replaces the first such if it is stronger, else goes."""
-    chained = sessionize(df, keys, t, gap, [ident], "_chain")
-    row = F.struct(F.col(t).alias("t"), F.col(ident).alias("id"), F.col(score).alias("s"))
-    kinds = dict(df.dtypes)
-    empty = F.array().cast(f"array<struct<t:{kinds[t]},id:{kinds[ident]},s:{kinds[score]}>>")
+    """In time order, a row closer than gap to a kept one replaces the first such if it is stronger, else goes. Rows without a score go."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (ident, t, score)}
+    rows = chained(df.where(F.col(score).isNotNull()), keys, t, gap)
+    merged = streamed(rows, keys, ["_chain"], [t, ident], [t, ident, score], f"`{t}` {kinds[t]}, `{ident}` {kinds[ident]}, `{score}` {kinds[score]}", lambda: streams.Merging(gap))
+    return merged.select(*keys, ident, t, score)
 
-    def step(kept: Column, x: Column) -> Column:
-        close = F.array_position(F.transform(kept, lambda k: F.abs(k["t"] - x["t"]) < gap), True)
-        stronger = F.transform(kept, lambda k, i: F.when((i + 1 == close) & (x["s"] > k["s"]), x).otherwise(k))
-        return F.when(close == 0, F.array_append(kept, x)).otherwise(stronger)
 
-    parts = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return parts.select(*keys, F.explode(F.aggregate("rows", empty, step)).alias("k")).select(*keys, F.col("k.id").alias(ident), F.col("k.t").alias(t), F.col("k.s").alias(score))
+def _sides(first: DataFrame, second: DataFrame, keys: Names, t: str, ident: str, reach) -> DataFrame:
+    side = lambda df, n: df.select(*keys, F.col(t).alias("t"), F.lit(n).alias("side"), F.col(ident).alias("id"))
+    return chained(side(first, 0).unionByName(side(second, 1)), keys, "t", reach)
 
 
 def match_one_to_one(refs: DataFrame, preds: DataFrame, keys: Names, t: str, tolerance, ident: str) -> DataFrame:
@@ -90,44 +65,48 @@ def match_one_to_one(refs: DataFrame, preds: DataFrame, keys: Names, t: str, tol
     Predictions in time order take the earliest reference that is still free
     and lies within the tolerance, which is optimal as all windows are alike.
     """
-    both = refs.select(*keys, F.col(t).alias("t"), F.lit(0).alias("side"), F.col(ident).alias("id")).unionByName(preds.select(*keys, F.col(t).alias("t"), F.lit(1).alias("side"), F.col(ident).alias("id")))
-    chained = sessionize(both, keys, "t", tolerance, ["side", "id"], "_chain")
-    row = F.struct("t", "id")
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, row)))
-    parts = chained.groupBy(*keys, "_chain").agg(side(0).alias("r"), side(1).alias("p")).where((F.size("r") > 0) & (F.size("p") > 0))
-    kind = dict(chained.dtypes)["id"]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<ref:{kind},pred:{kind},ref_t:long,pred_t:long>>").alias("pairs"))
-
-    def step(s: Column, p: Column) -> Column:
-        free = F.filter(F.transform(F.col("r"), lambda r, i: F.struct(i.alias("i"), r["t"].alias("t"), r["id"].alias("id"))), lambda x: (x["i"] >= s["at"]) & x["t"].between(p["t"] - tolerance, p["t"] + tolerance))
-        hit = F.get(free, F.lit(0))
-        pair = F.struct(hit["id"].alias("ref"), p["id"].alias("pred"), hit["t"].cast("long").alias("ref_t"), p["t"].cast("long").alias("pred_t"))
-        return F.struct(F.when(hit.isNotNull(), hit["i"] + 1).otherwise(s["at"]).alias("at"), F.when(hit.isNotNull(), F.array_append(s["pairs"], pair)).otherwise(s["pairs"]).alias("pairs"))
-
-    pairs = F.aggregate("p", start, step, lambda s: s["pairs"])
-    return parts.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
+    both = _sides(refs, preds, keys, t, ident, tolerance)
+    kind = both.schema["id"].dataType.simpleString()
+    return streamed(both, keys, ["_chain"], ["t", "side", "id"], ["t", "side", "id"], f"ref {kind}, pred {kind}, ref_t long, pred_t long", lambda: streams.Matching(tolerance))
 
 
 def confirm_in_order(events: DataFrame, candidates: DataFrame, keys: Names, t: str, snap, ident: str, move: bool = False) -> DataFrame:
     """Events with ``candidate`` (null if unconfirmed): in time order each takes the nearest candidate
     within snap that comes after the last one taken. With move the event's time becomes the candidate's."""
-    both = events.select(*keys, F.col(t).alias("t"), F.lit(0).alias("side"), F.col(ident).alias("id")).unionByName(candidates.select(*keys, F.col(t).alias("t"), F.lit(1).alias("side"), F.col(ident).alias("id")))
-    chained = sessionize(both, keys, "t", snap, ["side", "id"], "_chain")
-    row = F.struct("t", "id")
-    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, row)))
-    parts = chained.groupBy(*keys, "_chain").agg(side(0).alias("e"), side(1).alias("c")).where(F.size("e") > 0)
-    kinds = dict(chained.dtypes)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<id:{kinds['id']},t:{kinds['t']},candidate:{kinds['id']},ct:{kinds['t']}>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        ranked = F.transform(F.col("c"), lambda c, i: F.struct(F.abs(c["t"] - x["t"]).alias("d"), i.alias("i"), c["t"].alias("t"), c["id"].alias("id")))
-        hit = F.get(F.array_sort(F.filter(ranked, lambda c: (c["i"] >= s["at"]) & (c["d"] <= snap))), F.lit(0))
-        out = F.struct(x["id"].alias("id"), x["t"].alias("t"), hit["id"].alias("candidate"), hit["t"].alias("ct"))
-        return F.struct(F.when(hit.isNotNull(), hit["i"] + 1).otherwise(s["at"]).alias("at"), F.array_append(s["out"], out).alias("out"))
-
-    found = parts.select(*keys, F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o"))
-    at = F.coalesce(F.col("o.ct"), F.col("o.t")) if move else F.col("o.t")
-    return found.select(*keys, F.col("o.id").alias(ident), at.alias(t), F.col("o.candidate").alias("candidate"))
+    both = _sides(events, candidates, keys, t, ident, snap)
+    kind, time = both.schema["id"].dataType.simpleString(), both.schema["t"].dataType.simpleString()
+    found = streamed(both, keys, ["_chain"], ["t", "side", "id"], ["t", "side", "id"], f"id {kind}, t {time}, candidate {kind}, ct {time}", lambda: streams.Confirming(snap))
+    at = F.coalesce("ct", "t") if move else F.col("t")
+    return found.select(*keys, F.col("id").alias(ident), at.alias(t), "candidate")
+
+
+def track_slots(items: DataFrame, keys: Names, frame: str, ident: str, gap: int, **fit) -> DataFrame:
+    """``(keys, frame, ident, track, nth)``: items ``x, y, h`` of frames dealt to tracks, which are named by their first item.
+
+    Frames pass in order, their items by ident. An item goes to the nearest track (|dx| + |dy| from its running means, the older of equals)
+    that it fits in place and height and that has no item in this frame, else it opens one. A track that isn't seen for more than gap frames is closed.
+    """
+    rows = chained(items.select(*keys, frame, ident, *[F.col(c).cast("double").alias(c) for c in "xyh"]), keys, frame, gap)
+    kind = {c: items.schema[c].dataType.simpleString() for c in (frame, ident)}
+    return streamed(rows, keys, ["_chain"], [frame, ident], [frame, ident, "x", "y", "h"], f"`{frame}` {kind[frame]}, `{ident}` {kind[ident]}, track {kind[ident]}, nth long", lambda: streams.Tracks(gap, **fit))
+
+
+def cluster_bits(samples: DataFrame, keys: Names, ident: str, bits: str, width: int, reach: float, most: int) -> DataFrame:
+    """``(keys, ident, members, prototype)``: greedy clusters of packed bits (a long of up to 63 bits, or decimal), by first member.
+
+    Samples come by ident; each joins the nearest prototype within reach (a share of the width) or begins one, while
+    there are fewer than most; the others are left out. prototype: the majority's bits, the lowest first. Null samples are passed over.
+    """
+    rows = samples.select(*keys, ident, F.col(bits).alias("_bits")).where(F.col("_bits").isNotNull())
+    kind = samples.schema[ident].dataType.simpleString()
+    return streamed(rows.withColumn("_bits", F.col("_bits").cast("string")), keys, [], [ident], [ident, "_bits"], f"`{ident}` {kind}, members long, prototype string", lambda: _Packed(streams.Leaders(width, reach, most)))
+
+
+class _Packed(_FirstTwo):
+    """Samples as decimal text to whole numbers."""
+
+    def feed(self, ident, sample):
+        return self.inner.feed(ident, int(sample))
 
 
 def suppress_boxes(df: DataFrame, keys: Names, ident: str, score: str, kind: str, limit: float) -> DataFrame:

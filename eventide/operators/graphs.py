@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Names = Sequence[str]
-
+from .cuts import checkpointed
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; one of this machine's own only where none is set and all tasks run on it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventide-"))
-    return df.checkpoint(eager=True)
+Names = Sequence[str]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,15 +20,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     other, so rounds grow with the logarithm of a component's width.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = _cut(both)
-    labels = _cut(nodes.select("id", F.col("id").alias("label")))
+    both = checkpointed(both)
+    labels = checkpointed(nodes.select("id", F.col("id").alias("label")))
     while True:  # a round that moves nothing is the last
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         offers = labels.join(near, labels["id"] == near["a"]).where("near < label").select(F.explode(F.array_distinct(F.array("id", "label"))).alias("a"), "near")
         best = offers.groupBy("a").agg(F.min("near").alias("near"))
         pulled = labels.join(best, labels["id"] == best["a"], "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         up = pulled.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = _cut(pulled.join(up, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label")))
+        jumped = checkpointed(pulled.join(up, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label")))
         moved = jumped.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0] != labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
         labels = jumped
         if not moved:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import floor_quantile, upper_median
+from .cuts import running
 
 Names = Sequence[str]
 
@@ -104,17 +104,41 @@ def cross_validated(df: DataFrame, group: str, score: str, label: str, threshold
     return chosen.join(per_fold, ["fold", "threshold"])
 
 
+def order_statistics(df: DataFrame, keys: Names, value: str, weight: str | None = None, **places: Callable[[Column], Column]) -> DataFrame:
+    """``(keys, n, name...)``: for each name the value at a place of the key's sorted values, given as a function of their number n (from 0).
+    With weight, a row counts that many times.
+
+    Values are counted before they are ranked, and ranks are running sums over
+    ranges, so no task sorts or holds a whole key. Null values don't count; keys without any give no row.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).alias("_v")).agg((F.count("*") if weight is None else F.sum(weight)).alias("_c"))
+    upto = running(counted, own, ["_v"], _upto=F.col("_c"))
+    sizes = upto.groupBy(*own).agg(F.sum("_c").alias("_n"))
+    same = F.lit(True)
+    for o in own:
+        same = same & upto[o].eqNullSafe(F.col("_of" + o))
+    met = upto.join(sizes.select(*[F.col(o).alias("_of" + o) for o in own], "_n"), same)
+    at = lambda place: F.max(F.when((place >= F.col("_upto") - F.col("_c")) & (place < F.col("_upto")), F.col("_v")))
+    found = met.groupBy(*own).agg(F.first("_n").alias("n"), *[at(place(F.col("_n"))).alias(name) for name, place in places.items()])
+    return found.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "n", *places)
+
+
+LOWER, UPPER = (lambda n: F.floor((n - 1) / 2)), (lambda n: F.floor(n / 2))
+
+
 def medians(df: DataFrame, keys: Names, value: str, q: float = 0.9) -> DataFrame:
     """The three kinds: interpolated and upper median, and the floor-index quantile."""
-    values = F.sort_array(F.collect_list(value))
-    found = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), values.alias("_v"))
-    return found.select(*keys, "median", upper_median(F.col("_v")).alias("upper"), floor_quantile(F.col("_v"), q).alias("quantile"))
+    found = order_statistics(df, keys, value, lower=LOWER, upper=UPPER, quantile=lambda n: F.least(F.floor(n * q), n - 1))
+    return found.select(*keys, ((F.col("lower") + F.col("upper")) / 2).alias("median"), "upper", "quantile")
 
 
 def mad(df: DataFrame, keys: Names, value: str) -> DataFrame:
     """Median of the absolute deviations from the median."""
-    centre = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"))
-    return df.join(centre, list(keys)).groupBy(*keys).agg(F.first("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
+    middle = lambda rows, v: order_statistics(rows, keys, v, lower=LOWER, upper=UPPER).select(*keys, ((F.col("lower") + F.col("upper")) / 2).alias("_m"))
+    centre = middle(df, value).withColumnRenamed("_m", "median")
+    off = middle(df.join(centre, list(keys)).withColumn("_d", F.abs(F.col(value) - F.col("median"))), "_d").withColumnRenamed("_m", "mad")
+    return centre.join(off, list(keys))
 
 
 def mode_low(df: DataFrame, keys: Names, value: str, least: int = 2) -> DataFrame:

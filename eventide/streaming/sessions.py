@@ -1,7 +1,8 @@
-"""Structured Streaming editions: sessions with a watermark, and a stateful counter scan."""
+"""Structured Streaming editions: sessions with a watermark, a stateful counter scan and slot tracks."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.streams import Tracks
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -50,6 +53,25 @@ def stream_counter(reads: DataFrame, key: str, t: str, order: str, value: str) -
     return rows.groupBy("key").applyInPandasWithState(_scan, "key long, t long, ord long, delta double, kind string", "value double", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_tracks(items: DataFrame, key: str, frame: str, ident: str, gap: int, **fit) -> DataFrame:
+    """``(key, frame, ident, track, nth)`` of a stream of items ``x, y, h``: the tracks of folds.track_slots, by the same machine.
+
+    A key's state is its open tracks, which are few. Frames of a key must come in order, the items of one frame in any
+    number of batches by ident; an item of an earlier frame than the last is left out.
+    """
+    rows = items.select(F.col(key).cast("long").alias("key"), F.col(frame).cast("long").alias("frame"), F.col(ident).cast("long").alias("ident"), *[F.col(c).cast("double").alias(c) for c in "xyh"])
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracks = Tracks(gap, state=json.loads(state.get[0]) if state.exists else (), **fit)
+        last = max((s[5] for s in tracks.open), default=None)
+        given = pd.concat(list(batches)).sort_values(["frame", "ident"])
+        found = [x for r in given[["frame", "ident", "x", "y", "h"]].itertuples(index=False, name=None) if last is None or r[0] >= last for x in tracks.feed(int(r[0]), int(r[1]), *map(float, r[2:]))]
+        state.update((json.dumps(tracks.open),))
+        yield pd.DataFrame([(k[0], *x) for x in found], columns=["key", "frame", "ident", "track", "nth"])
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, frame long, ident long, track long, nth long", "open string", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_table(rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over all that is there now into a memory table."""
     rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
