@@ -1,4 +1,4 @@
 """All registered queries and their DuckDB oracles."""
 
-from . import join_queries, metric_queries, model_queries, placement_queries, report_queries, tracking_queries, window_queries  # noqa: F401
+from . import join_queries, learning_queries, metric_queries, model_queries, placement_queries, report_queries, series_queries, tracking_queries, window_queries  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
