@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import series
-from .common import E, events, query
+from ..operators import events as ev
+from ..operators import motion, render, series
+from .common import E, events, query, table
 
 USER = ["user_id"]
 ORDER = ["t", "event_id"]
@@ -80,9 +81,56 @@ g AS (SELECT mp.user_id, mp.id, max(round(list_dot_product(mp.patch, more.patch)
 SELECT user_id, id AS event_id, "at", round(score, 6) AS score, round(sim, 6) AS similarity, round(score + 0.5e0 * sim, 6) AS final FROM c JOIN g USING (user_id, id)""")
 def reference_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks ranked by value and by how like the series around them is to that around the user's first purchase."""
-    rows = series.placed(events(spark, sf), USER, ORDER, "value")
-    named = series.placed(events(spark, sf).withColumn("_v", F.col("event_id")), USER, ORDER, "_v").select("user_id", "i", F.col("v").cast("long").alias("event_id"))
-    kinds = events(spark, sf, "click", "purchase").select("user_id", "event_id", "event_type", (F.col("value") / 500).alias("score")).join(named, ["user_id", "event_id"]).withColumnRenamed("i", "at")
+    rows = series.placed(events(spark, sf).withColumn("id", F.col("event_id")), USER, ORDER, "value", keep=["event_type", "id"])
+    kinds = rows.select("user_id", F.col("id").alias("event_id"), "event_type", (F.col("v") / 500).alias("score"), F.col("i").alias("at"))
     first = kinds.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("at").alias("at"))
     found = series.rerank(rows, kinds.where("event_type = 'click'"), first, USER, "event_id", "score", 2, 3, 1)
     return found.withColumns({c: F.round(c, 6) for c in ("score", "similarity", "final")})
+
+
+@query("""WITH g AS (SELECT b.vec_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT vec_id, sy, sx, y, x, abs(a[(y + sy) * 8 + x + sx + 1] - b[y * 8 + x + 1]) AS d FROM g, range(-2, 3) u(sy), range(-2, 3) v(sx), range(8) w(y), range(8) z(x) WHERE y + sy BETWEEN 0 AND 7 AND x + sx BETWEEN 0 AND 7),
+m AS (SELECT vec_id, sy, sx, avg(d) AS cost FROM c GROUP BY vec_id, sy, sx),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, sy, sx) AS k FROM m) WHERE k = 1),
+near AS (SELECT w.vec_id, w.sx, w.sy, w.cost, l.cost AS l, r.cost AS r, u.cost AS u, d.cost AS d, z.cost AS zero FROM w LEFT JOIN m l ON l.vec_id = w.vec_id AND l.sy = w.sy AND l.sx = w.sx - 1 LEFT JOIN m r ON r.vec_id = w.vec_id AND r.sy = w.sy AND r.sx = w.sx + 1
+  LEFT JOIN m u ON u.vec_id = w.vec_id AND u.sx = w.sx AND u.sy = w.sy - 1 LEFT JOIN m d ON d.vec_id = w.vec_id AND d.sx = w.sx AND d.sy = w.sy + 1 JOIN m z ON z.vec_id = w.vec_id AND z.sx = 0 AND z.sy = 0),
+f AS (SELECT *, 0.5e0 * (l - r) / (l - 2 * cost + r) AS fx, 0.5e0 * (u - d) / (u - 2 * cost + d) AS fy FROM near),
+p AS (SELECT vec_id, y // 4 AS gy, x // 4 AS gx, sy, sx, avg(d) AS cost FROM c GROUP BY ALL),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, gy, gx ORDER BY cost, sy, sx) AS k FROM p) WHERE k = 1),
+t AS (SELECT vec_id, sum(CASE WHEN gy = gx THEN sx ELSE -sx END) / 4 AS u, sum(CASE WHEN gy = gx THEN sy ELSE -sy END) / 4 AS v FROM q GROUP BY vec_id)
+SELECT f.vec_id, sx AS dx, sy AS dy, round(cost, 6) AS residual, round(zero, 6) AS difference, round(sx + CASE WHEN abs(fx) <= 1 THEN fx ELSE 0 END, 6) AS x, round(sy + CASE WHEN abs(fy) <= 1 THEN fy ELSE 0 END, 6) AS y, round(sqrt(t.u * t.u + t.v * t.v), 6) AS warp FROM f JOIN t USING (vec_id)""")
+def shift_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as grids of 8 x 8: the shift, of two cells at most, that takes each one's predecessor to it."""
+    found = motion.shifts(table(spark, sf, "embeddings"), "vec_id", "embedding", 8, 8, 2)
+    return found.withColumns({c: F.round(c, 6) for c in ("residual", "difference", "x", "y", "warp")})
+
+
+CLIP, FADE, BUDGET, OUTRO = 12, 4, 20, 9
+BOOM = "r AS (SELECT j, ((j * 7) % 11 - 5) / 8.7e0 AS r FROM range(12) t(j))"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS i, l_extendedprice / 12347 AS v, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), {BOOM},
+b AS (SELECT l_suppkey, i AS t, n, least(coalesce(lead(i) OVER (PARTITION BY l_suppkey ORDER BY i), n), n) AS bound FROM s WHERE l_quantity >= 49),
+w AS (SELECT *, least(t + {CLIP}, bound) AS e FROM b), x AS (SELECT *, least(e + greatest(0, {BUDGET} - (e - t)), bound) AS d, least({FADE}, (e - t) // 2) AS edge FROM w WHERE e > t),
+ops AS (SELECT l_suppkey, t * 10 AS ord, 'scale' AS kind, greatest(0, t - {FADE}) AS a, t AS z, t, e, d, edge, n FROM x UNION ALL SELECT l_suppkey, t * 10 + 1, 'clip', t, e, t, e, d, edge, n FROM x
+  UNION ALL SELECT l_suppkey, t * 10 + 2, 'original', e, d, t, e, d, edge, n FROM x UNION ALL SELECT l_suppkey, t * 10 + 3, 'in', e, CASE WHEN d > e THEN e ELSE least(n, e + {FADE}) END, t, e, d, edge, n FROM x),
+hit AS (SELECT s.l_suppkey, s.i, s.v, ord, CASE WHEN kind IN ('scale', 'in') THEN 'scale' ELSE 'set' END AS what,
+  CASE kind WHEN 'scale' THEN 1 - (s.i - a + 1) / (z - a) WHEN 'in' THEN (s.i - a + 1) / (z - a) WHEN 'original' THEN s.v * CASE WHEN d - e = 1 THEN 1 ELSE (s.i - e) / (d - e - 1) END
+    ELSE coalesce(r.r, 0) * CASE WHEN edge > 0 AND s.i - t < edge THEN (s.i - t) / edge WHEN edge > 0 AND s.i - t >= e - t - edge THEN (e - t - 1 - (s.i - t)) / edge ELSE 1 END END AS g
+  FROM s JOIN ops o ON o.l_suppkey = s.l_suppkey AND s.i >= o.a AND s.i < o.z LEFT JOIN r ON o.kind = 'clip' AND r.j = s.i - o.t),
+last AS (SELECT l_suppkey, i, max(ord) FILTER (WHERE what = 'set') AS ord, arg_max(g, ord) FILTER (WHERE what = 'set') AS v FROM hit GROUP BY ALL),
+scaled AS (SELECT h.l_suppkey, h.i, product(h.g) AS g FROM hit h JOIN last l ON l.l_suppkey = h.l_suppkey AND l.i = h.i AND h.what = 'scale' AND h.ord > coalesce(l.ord, -1) GROUP BY h.l_suppkey, h.i)
+SELECT s.l_suppkey, s.i, round(coalesce(l.v, s.v) * coalesce(k.g, 1), 6) AS v FROM s LEFT JOIN last l USING (l_suppkey, i) LEFT JOIN scaled k USING (l_suppkey, i)
+UNION ALL SELECT l_suppkey, m.n + j, round(greatest(-1, least(1, r * 3)), 6) FROM (SELECT l_suppkey, any_value(n) AS n FROM s GROUP BY l_suppkey) m, r WHERE j < {OUTRO}""")
+def splice_render(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's prices as samples: a clip at its largest orders, ducked after it, and an outro."""
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_extendedprice") / 12347).alias("price"), "l_quantity")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    numbered = series.placed(rows, ["l_suppkey"], order, "price", keep=["l_quantity"])
+    samples = numbered.select("l_suppkey", "i", "v")
+    ends = samples.groupBy("l_suppkey").agg((F.max("i") + 1).alias("total"))
+    shots = numbered.where("l_quantity >= 49").select("l_suppkey", "i").join(ends, "l_suppkey")
+    windows = ev.splice_windows(shots, ["l_suppkey"], "i", F.col("total"), CLIP, budget=BUDGET)
+    boom = spark.range(CLIP).select(F.col("id").alias("j"), ((F.col("id") * 7 % 11 - 5) / 8.7).alias("r"))
+    spliced = render.render(samples, render.pieces(windows, ["l_suppkey"], "i", FADE, []), boom, ["l_suppkey"])
+    return render.with_outro(spliced, boom, ["l_suppkey"], OUTRO, 3.0).withColumn("v", F.round("v", 6))
