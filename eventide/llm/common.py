@@ -53,6 +53,14 @@ def bounded_batches(spark: SparkSession, rows: int = 500, mb: int = 2) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def any_of(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:

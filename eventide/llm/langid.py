@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, unused
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
@@ -203,6 +203,7 @@ def predict(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col:
     language with most documents; repeated rows get equal answers; no rows give no rows.
     """
     model = learn(train, text_col, lang_col)
-    out = docs.withColumn("_found", identify(model, F.col(text_col), docs))
+    inner = unused(docs, "_found")
+    out = docs.withColumn(inner, identify(model, F.col(text_col), docs))
     names = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
-    return out.select(*names, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    return out.select(*names, F.col(f"{inner}.lang").alias("lang_pred"), F.col(f"{inner}.score").alias("score"))

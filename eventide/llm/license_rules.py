@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # Public licence notices, normalised (lower case, runs of other than a-z0-9 as one blank).
 SENTENCES = {
     "apache-2.0-short": "licensed under the apache license version 2 0",
@@ -207,11 +209,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
     prose = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, SENTENCE_END, "$1\u0001"), f"\n[ \t\r]*\n|{COLON_END}", "\u0001"), "\n", " "), "\u0001")
-    out = docs.withColumn("_lines", identifiers(lines)).withColumn("_prose", identifiers(prose))
-    any_known = (F.size("_lines") > 0) | (F.size("_prose") > 0)
-    both = F.when(any_known, F.array_sort(F.array_union(match_rules(_sequence(F.col("_lines"))), match_rules(_sequence(F.col("_prose")))))).otherwise(F.array().cast("array<string>"))
+    by_line, by_prose = unused(docs, "_lines"), unused(docs, "_prose")
+    out = docs.withColumn(by_line, identifiers(lines)).withColumn(by_prose, identifiers(prose))
+    any_known = (F.size(by_line) > 0) | (F.size(by_prose) > 0)
+    both = F.when(any_known, F.array_sort(F.array_union(match_rules(_sequence(F.col(by_line))), match_rules(_sequence(F.col(by_prose)))))).otherwise(F.array().cast("array<string>"))
     names = F.array(*[F.lit(i) for i in IDENTIFIERS])
-    numbers = F.when(F.size("_prose") > F.size("_lines"), F.col("_prose")).otherwise(F.col("_lines"))
+    numbers = F.when(F.size(by_prose) > F.size(by_line), F.col(by_prose)).otherwise(F.col(by_line))
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("licenses", "license_sentences")]
     return out.select(*columns, both.alias("licenses"), F.transform(numbers, lambda n: F.element_at(names, n.cast("int"))).alias("license_sentences"))
 

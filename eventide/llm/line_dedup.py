@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 #: A line on so many sites is boilerplate.
 MIN_SITES = 10
@@ -85,10 +85,12 @@ def mark_lines(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
     lines = checkpointed(lines_of(docs, text_col, source_col))
     wide = checkpointed(spread_lines(lines, min_sites).select("h"))
     hits = _of_hashes(lines, wide).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("removed_lines"))
-    keyed = docs.select("*", *[c.alias(f"_row_{k}") for c, k in zip(_keys(docs), ("k1", "k2"), strict=True)])
-    joined = keyed.join(hits, (keyed["_row_k1"] == hits["k1"]) & (keyed["_row_k2"] == hits["k2"]), "left")
+    one, two, gone = unused(docs, "_row_k1"), unused(docs, "_row_k2"), unused(docs, "_removed")
+    hits = hits.select(F.col("k1").alias("_" + one), F.col("k2").alias("_" + two), F.col("removed_lines").alias(gone))
+    keyed = docs.select("*", *[c.alias(k) for c, k in zip(_keys(docs), (one, two), strict=True)])
+    joined = keyed.join(hits, (keyed[one] == hits["_" + one]) & (keyed[two] == hits["_" + two]), "left")
     names = [keyed[f"`{c}`"] for c in docs.columns if c != "removed_lines"]
-    return joined.select(*names, F.coalesce(hits["removed_lines"], F.array().cast("array<int>")).alias("removed_lines"))
+    return joined.select(*names, F.coalesce(hits[gone], F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def without_lines(text: Column, removed: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, prefix_sums
+from .common import WORD, checkpointed, prefix_sums, unused
 
 SEED = 7
 WEIGHTS = (3, 1, 2)
@@ -187,6 +187,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = each.where(uniform * F.col("size") < F.col("n")).groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_copies"))
     rows = placed.groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_rows"))
     copies = copies.join(rows, "_row_key").select("_row_key", F.ceil(F.col("_copies") / F.col("_rows")).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_doc_key", F.xxhash64(id_col, text_col, source_col))
-    joined = keyed.join(copies, keyed["_doc_key"] == copies["_row_key"])
-    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    own, key, number, copy = (unused(docs, c) for c in ("_doc_key", "_row_key", "_copies", "_copy"))
+    copies = copies.select(F.col("_row_key").alias(key), F.col("_copies").alias(number))
+    keyed = docs.withColumn(own, F.xxhash64(id_col, text_col, source_col))
+    joined = keyed.join(copies, keyed[own] == copies[key])
+    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(number))).alias(copy)).drop(copy)

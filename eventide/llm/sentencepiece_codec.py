@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, unused
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -293,7 +293,8 @@ def tokenize(docs: DataFrame, text_col: str = "text", path: str | None = None) -
     encoded, whatever their length; every row goes through both libraries.
     """
     bounded_batches(docs.sparkSession, rows=128, mb=1)
-    out = docs.withColumn("_codec", codec(F.col(text_col), path or default_model()))
+    inner = unused(docs, "_codec")
+    out = docs.withColumn(inner, codec(F.col(text_col), path or default_model()))
     new = ("ids", "n_tokens", "decoded", "parity")
     names = [f"`{c}`" for c in docs.columns if c not in new]
-    return out.select(*names, F.col("_codec.ids").alias("ids"), F.coalesce(F.size("_codec.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("_codec.decoded").alias("decoded"), F.col("_codec.parity").alias("parity"))
+    return out.select(*names, F.col(f"{inner}.ids").alias("ids"), F.coalesce(F.size(f"{inner}.ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col(f"{inner}.decoded").alias("decoded"), F.col(f"{inner}.parity").alias("parity"))
