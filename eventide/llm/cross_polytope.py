@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, connected_components
 
@@ -144,10 +145,10 @@ def near_pairs(unit: np.ndarray, lengths: np.ndarray, block: np.ndarray, cross:
     return i[apart], j[apart]
 
 
-def compare(chunk: pa.Table, lengths: np.ndarray, threshold: float) -> pa.RecordBatch:
+def compare(chunk: pa.Table, lengths: np.ndarray, threshold: float, kind: type = np.float32) -> pa.RecordBatch:
     """Links within the groups of a chunk: ``(class, links, root)`` of the rows that have any; roots make a forest over them."""
     ids, sizes, block = (chunk.column(c).to_numpy() for c in ("class", "n", "block"))
-    raw = np.frombuffer(b"".join(chunk.column("vector").to_pylist()), np.float32).reshape(len(ids), -1).astype(np.float64)
+    raw = np.frombuffer(b"".join(chunk.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
     raw /= np.abs(raw).max(axis=1, keepdims=True)
     unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
     codes = np.frombuffer(b"".join(chunk.column("codes").to_pylist()), np.int32).reshape(len(ids), -1)
@@ -174,7 +175,7 @@ SCHEMA = "class long, links long, root long"
 KEYS = ("label", "dim", "table", "code", "low", "high")
 
 
-def _walk(threshold: float):
+def _walk(threshold: float, kind: type):
     """Arrow batches sorted by KEYS to rows (class, links, root): whole groups at a time, however batches cut them."""
 
     def run(batches):
@@ -185,9 +186,9 @@ def _walk(threshold: float):
             starts = _group_starts(chunk)
             held = chunk.slice(starts[-1])  # the last group may go on
             if len(starts) > 1:
-                yield from _by_dim(chunk.slice(0, starts[-1]), starts, threshold)
+                yield from _by_dim(chunk.slice(0, starts[-1]), starts, threshold, kind)
         if held is not None and len(held) > 1:
-            yield from _by_dim(held, np.array([0, len(held)]), threshold)
+            yield from _by_dim(held, np.array([0, len(held)]), threshold, kind)
 
     return run
 
@@ -201,22 +202,36 @@ def _group_starts(chunk: pa.Table) -> np.ndarray:
     return np.flatnonzero(marks)
 
 
-def _by_dim(chunk: pa.Table, bounds: np.ndarray, threshold: float):
+def _by_dim(chunk: pa.Table, bounds: np.ndarray, threshold: float, kind: type):
     """Compare the groups between bounds, vectors of one length at a time."""
     dims = chunk.column("dim").to_numpy()
     bounds = np.unique(np.append(bounds[bounds < len(chunk)], len(chunk)))
     cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(chunk)]
     for start, end in zip(cuts, cuts[1:], strict=False):
         inner = bounds[(bounds >= start) & (bounds <= end)]
-        yield compare(chunk.slice(start, end - start), np.diff(inner), threshold)
+        yield compare(chunk.slice(start, end - start), np.diff(inner), threshold, kind)
 
 
-def packed(vector: Column) -> Column:
-    """The vector as the bytes of its floats."""
+def scaled(vector: Column) -> Column:
+    """The vector times the power of two that brings its largest component to between a half and one: no cosine changes by it, and no square overflows or vanishes."""
+
+    @F.pandas_udf("array<double>")
+    def run(vectors: pd.Series) -> pd.Series:
+        def one(x) -> np.ndarray:
+            x = np.asarray(x, np.float64)
+            return np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+
+        return vectors.map(one)
+
+    return run(vector)
+
+
+def packed(vector: Column, kind: type) -> Column:
+    """The vector as bytes of its own precision: what is a float stays one."""
 
     @F.pandas_udf("binary")
     def run(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda x: np.asarray(x, np.float32).tobytes())
+        return vectors.map(lambda x: np.asarray(x, kind).tobytes())
 
     return run(vector)
 
@@ -224,7 +239,8 @@ def packed(vector: Column) -> Column:
 def candidate_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(class, links, root)`` rows over classes ``(class, n, label, vector)``: links of a
     class in one bucket block pair (in vectors, other classes only), and an edge to a class it is connected with there."""
-    hashed = checkpointed(classes.select("class", "n", "label", F.size("vector").alias("dim"), codes(F.col("vector")).alias("codes"), packed(F.col("vector")).alias("vector")))
+    kind = np.float32 if classes.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+    hashed = checkpointed(classes.select("class", "n", "label", F.size("vector").alias("dim"), codes(F.col("vector")).alias("codes"), packed(F.col("vector"), kind).alias("vector")))
     slots = hashed.select("class", "label", "dim", F.posexplode("codes").alias("slot", "code"))
     slots = slots.withColumn("table", F.floor(F.col("slot") / PROBES).cast("int")).drop("slot")
     bucket = ["label", "dim", "table", "code"]
@@ -235,7 +251,7 @@ def candidate_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     payload = hashed.select("class", "n", code_bytes(F.col("codes")).alias("codes"), "vector")
     dealt = entries.select(*KEYS, "class", "block").join(payload, "class")
-    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "class").mapInArrow(_walk(threshold), SCHEMA)
+    return dealt.repartition(*KEYS).sortWithinPartitions(*KEYS, "class").mapInArrow(_walk(threshold, kind), SCHEMA)
 
 
 def code_bytes(codes: Column) -> Column:
@@ -251,18 +267,24 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Vectors that are null, empty, zero or hold a null or non-finite component,
     and those of a null label, link with nothing; so do vectors of different
-    lengths. Repeated rows are vectors of their own and link with each other. A
+    lengths. Cosines are in double precision, whatever the size of the components; labels may be of any type (those that
+    aren't whole numbers meet by their 64-bit hash). Repeated rows are vectors of their own and link with each other. A
     null id is in a component but never names one (unless it is alone). No rows
     give no rows.
     """
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
+    element = table.schema[vector_col].dataType.elementType.typeName()
+    label = F.col(label_col).cast("long") if isinstance(table.schema[label_col].dataType, T.IntegralType) else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
+    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), label.alias("label"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull())
     # -0.0 + 0.0 is 0.0: equal vectors have equal hashes
     same = F.transform("vector", lambda x: x + F.lit(0.0))
     rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64(same))).withColumn("k2", F.when(F.col("ok"), F.hash(same)))
+    if element != "float":  # floats have squares within a double's range as they are
+        rows = rows.withColumn("vector", F.when(F.col("ok"), F.col("vector").cast("array<double>")))
     groups = rows.where("ok").groupBy("label", "k1", "k2").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     groups = checkpointed(groups.withColumn("class", F.coalesce("class", F.lit(-(2**63)).cast("long") + F.pmod("k1", F.lit(2**40)))))
-    found = checkpointed(candidate_links(groups.select("class", "n", "label", "vector"), threshold))
+    vector = F.col("vector") if element == "float" else scaled(F.col("vector")).alias("vector")
+    found = checkpointed(candidate_links(groups.select("class", "n", "label", vector), threshold))
     components = connected_components(found.select("class", "root"), "class", "root")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     named = groups.select("label", "k1", "k2", "class", "n").join(links, "class", "left").join(components.withColumnRenamed("node", "class"), "class", "left")

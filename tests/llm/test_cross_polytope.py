@@ -98,3 +98,18 @@ def test_groups_of_any_cut_are_walked_whole(spark, monkeypatch):
         check(spark, vectors, [i % 2 for i in range(len(vectors))], 0.98)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_doubles_and_labels_of_any_type(spark):
+    """Components that a float or a square can't hold, and labels that are texts."""
+    rows = [
+        (1, [1e300, 0.0], "a"), (2, [1e300, 1e296], "a"), (3, [1e-60, 1e-60], "a"), (4, [1e-60, 1.00001e-60], "a"), (5, [1e-320, 1e-320], "a"), (6, [1e300, 0.0], "b"), (7, [1e300, 0.0], None), (8, [0.0, -1e-310], "a"),
+        (9, [1.0, 0.2030], "a"), (10, [1.0, 0.2031], "c"), (11, [1.0, 0.0], "c"),
+    ]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cross_polytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    want = {}
+    for i, v, label in rows:
+        own = np.array(v) / np.abs(v).max()
+        near = [j for j, u, other in rows if j != i and label is not None and label == other and (w := np.array(u) / np.abs(u).max()) @ own / np.sqrt((w @ w) * (own @ own)) >= 0.98]
+        want[i] = (len(near), min([i, *near]))
+    assert got == want and got[2][0] and got[4] == (2, 3) and not got[6][0] and not got[7][0]
