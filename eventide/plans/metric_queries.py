@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import folds, metrics, vectors
+from ..operators import blocks, folds, metrics, vectors
 from ..operators import windows as w
 from .common import DAY, HOUR, E, events, of_type, query, scores_sql, table
 
@@ -270,7 +270,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM p) SELECT a, b, CAST(rank AS INT) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.top_similar(_pairs(spark, sf), 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
+    rows = table(spark, sf, "embeddings")
+    return blocks.top_partners(rows.where("vec_id % 20 = 0"), rows, ["label"], "vec_id", "embedding", 5).select("a", "b", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {PAIRS}, core AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0), k AS (SELECT p.*, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r, count(*) OVER (PARTITION BY a) AS n FROM p JOIN core ON core.vec_id = p.b) SELECT a, round(sim, 6) AS kth FROM k WHERE r = least(3, n) AND sim >= 0.1")
@@ -283,11 +284,9 @@ def component_gate(spark: SparkSession, sf: str) -> DataFrame:
 def knn_label(spark: SparkSession, sf: str) -> DataFrame:
     """Label of the nearest other row to each query row: best in every block of rows first, then over the blocks."""
     rows = table(spark, sf, "embeddings")
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("block"))
-    blocks = rows.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(32)).cast("int").alias("block"))
-    scored = queries.join(blocks, "block").where("a != vec_id").withColumn("sim", vectors.cosine(F.col("va"), F.col("embedding")))
-    best = scored.groupBy("a").agg(F.max_by(F.struct("label", "sim"), F.struct(F.col("sim"), -F.col("vec_id"))).alias("b"))
-    return best.select(F.col("a").alias("vec_id"), F.col("b.label").alias("near"), F.round("b.sim", 6).alias("similarity"))
+    best = blocks.top_partners(rows.where("vec_id % 20 = 0"), rows, [], "vec_id", "embedding", 1)
+    named = best.join(rows.select(F.col("vec_id").alias("b"), F.col("label").alias("near")), "b")
+    return named.select(F.col("a").alias("vec_id"), "near", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT label, CAST(i AS INT) AS i, round(avg(x), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graphs, learning, metrics, vectors
+from ..operators import blocks, graphs, learning, metrics, vectors
 from .common import query, table
 
 LINK = 0.3
@@ -28,6 +28,33 @@ def dominant_component(spark: SparkSession, sf: str) -> DataFrame:
     return graphs.dominant_component(rows.select("label", F.col("vec_id").alias("id")), pairs.select("a", "b"), ["label"]).select("label", "id", "component", "size")
 
 
+WHOLE = DOMINANT.replace(" WHERE a.vec_id % 20 = 0\n  AND", " WHERE")
+
+
+@query(WHOLE)
+def whole_dominant_component(spark: SparkSession, sf: str) -> DataFrame:
+    """Each label's largest component of the graph of all its links of cosine 0.3 at least."""
+    rows = table(spark, sf, "embeddings")
+    return _core(rows).select("label", "id", "component", "size")
+
+
+def _core(rows: DataFrame) -> DataFrame:
+    edges = blocks.linked(rows, ["label"], "vec_id", "embedding", LINK)
+    return graphs.dominant_component(rows.select("label", F.col("vec_id").alias("id")), edges, ["label"])
+
+
+@query(f"""{WHOLE[: WHOLE.rindex('SELECT l.label')]}, core AS (SELECT l.label, l.id FROM lab l JOIN best b ON b.label = l.label AND b.component = l.component WHERE b.k = 1),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS sim
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN core ON core.id = b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n FROM s)
+SELECT a, round(sim, 6) AS kth FROM r WHERE k = least(3, n) AND sim >= 0.28""")
+def core_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose third best likeness to their label's dominant component is 0.28 at least."""
+    rows = table(spark, sf, "embeddings")
+    core = rows.join(_core(rows).select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    return blocks.gate(blocks.top_partners(rows, core, ["label"], "vec_id", "embedding", 3), 0.28).select("a", F.round("kth", 6).alias("kth"))
+
+
 FEATURES = ["n_chars", "upper", "odd", "spaces"]
 
 
