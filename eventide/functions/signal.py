@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from ..operators import windows as w
 
 
@@ -41,7 +42,8 @@ def onset_strength(audio: DataFrame, rate: int, size: int = 1024, hop: int = 256
     """``(key, i, t, flux, hfc, strength)``: half normalised flux, half normalised rise of the high-frequency content; t is the frame's centre."""
     spectra = frames(audio, size, hop, key=key).withColumn("spectrum", magnitudes(F.col("frame"), size))
     curve = spectral_flux(spectra, key).withColumn("_rise", w.rectified_difference("hfc", [key], ["i"]))
-    strength = (w.peak_norm("flux", [key]) + w.peak_norm("_rise", [key])) / 2
+    curve = metrics.with_peak_share(metrics.with_peak_share(curve, [key], "flux", "_flux"), [key], "_rise", "_high")
+    strength = (F.col("_flux") + F.col("_high")) / 2
     return curve.select(key, "i", ((F.col("i") * hop + size / 2) / rate).alias("t"), "flux", "hfc", strength.alias("strength"))
 
 
@@ -68,7 +70,7 @@ def log_mel(spectrum: Column, bands: int, size: int, rate: int, low: float = 60.
 def band_zscores(mels: DataFrame, key: str = "slug", order: str = "i", mel: str = "mel") -> DataFrame:
     """Every band of a clip as standard scores over its frames (deviation 0 counts as 1)."""
     long = mels.select(key, order, F.posexplode(mel).alias("band", "x")).withColumn("x", F.col("x").cast("double"))
-    scored = long.withColumn("z", w.zscore("x", [key, "band"]))
+    scored = metrics.with_zscore(long, [key, "band"], "x", "z")
     rows = F.transform(F.array_sort(F.collect_list(F.struct("band", "z"))), lambda s: s["z"].cast("float"))
     return scored.groupBy(key, order).agg(rows.alias(mel))
 

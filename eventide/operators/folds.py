@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import streams
+from .cuts import checkpointed
 from .streams import chained, streamed
 
 Names = Sequence[str]
@@ -109,17 +110,41 @@ class _Packed(_FirstTwo):
         return self.inner.feed(ident, int(sample))
 
 
-def suppress_boxes(df: DataFrame, keys: Names, ident: str, score: str, kind: str, limit: float) -> DataFrame:
-    """Boxes ``x, y, w, h`` (corner and size) that stay: by score, unless one kept of the same kind overlaps by IoU above limit.
+def suppress_boxes(df: DataFrame, keys: Names, ident: str, score: str, kind: str, limit: float, grid: float = 16.0) -> DataFrame:
+    """Boxes ``x, y, w, h`` (corner and size) that stay: by score (then ident), unless one kept of the same kind overlaps by IoU above limit.
 
-    The boxes of a frame (the keys) are one fold.
+    Boxes meet in the cells of a grid, each pair in one cell only. Then in rounds: a box that no undecided better one overlaps stays, and those
+    that it overlaps go; rounds are as many as the longest chain of decisions. Equal boxes are one from the start: the best stands for them.
     """
-    row = F.struct((-F.col(score)).alias("s"), F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
-    parts = df.groupBy(*keys, kind).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kinds = dict(df.dtypes)
-    empty = F.array().cast(f"array<struct<s:{kinds[score]},id:{kinds[ident]},x:double,y:double,w:double,h:double>>")
-    kept = F.aggregate("rows", empty, lambda ks, b: F.when(F.exists(ks, lambda k: iou(k, b) > limit), ks).otherwise(F.array_append(ks, b)))
-    return parts.select(*keys, kind, F.explode(kept).alias("k")).select(*keys, kind, F.col("k.id").alias(ident), (-F.col("k.s")).alias(score))
+    group = [*keys, kind]
+    sides = [F.col(c).cast("double").alias("_" + c) for c in "xywh"]
+    rows = df.where(F.col(score).isNotNull()).select(*group, ident, score, *sides)
+    flat = rows.where("NOT (_w > 0 AND _h > 0)").select(*group, ident, score)  # overlap nothing
+    solid = rows.where("_w > 0 AND _h > 0")
+    order = F.struct((-F.col(score)).alias("s"), F.col(ident).alias("id"))
+    first = checkpointed(solid.groupBy(*group, "_x", "_y", "_w", "_h").agg(F.min(order).alias("o"))) if limit < 1 else checkpointed(solid.withColumn("o", order))
+    cell = lambda c: F.floor(c / grid).cast("long")
+    laid = first.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x")), cell(F.col("_x") + F.col("_w"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y")), cell(F.col("_y") + F.col("_h")))))
+    box = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xywh"])
+    named = lambda p: laid.select(*[F.col(k).alias(p + k) for k in group], F.col("o").alias(p + "o"), *[F.col(c).alias(p + c) for c in ("_x", "_y", "_w", "_h", "_cx", "_cy")])
+    same = (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & (F.col("ao") < F.col("bo"))
+    same = same & (F.col("a_cx") == cell(F.greatest("a_x", "b_x"))) & (F.col("a_cy") == cell(F.greatest("a_y", "b_y")))
+    for k in group:
+        same = same & F.col("a" + k).eqNullSafe(F.col("b" + k))
+    edges = named("a").join(named("b"), same).where(iou(box("a"), box("b")) > limit).select(F.col("ao.id").alias("a"), F.col("bo.id").alias("b"))
+    edges, left = checkpointed(edges), checkpointed(first.select(F.col("o.id").alias("id")))
+    kept = None
+    while True:
+        blocked = edges.select(F.col("b").alias("id")).distinct()
+        clear = checkpointed(left.join(blocked, "id", "left_anti"))
+        kept = clear if kept is None else kept.unionByName(clear)
+        if edges.isEmpty():
+            break
+        gone = edges.join(clear.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        left = checkpointed(left.join(clear, "id", "left_anti").join(gone, "id", "left_anti"))
+        edges = checkpointed(edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+    stay = solid.join(kept.select(F.col("id").alias("_id")), solid[ident] == F.col("_id"), "left_semi")
+    return stay.select(*group, ident, score).unionByName(flat)
 
 
 def iou(a: Column, b: Column) -> Column:

@@ -48,14 +48,43 @@ def totals(counts: DataFrame, by: Names) -> DataFrame:
     return with_scores(summed)
 
 
+def _same(keys: Names) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col("_of_" + k))
+    return out
+
+
+def _with(df: DataFrame, keys: Names, **aggregates: Column) -> DataFrame:
+    """df with aggregates of its keys: partial sums first, then a join with one row a key, so a hot key stays where its rows are."""
+    found = df.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(*[c.alias(name) for name, c in aggregates.items()])
+    return df.join(found, _same(keys)).drop(*["_of_" + k for k in keys])
+
+
+def with_normalized_rank(df: DataFrame, keys: Names, value: str, ties: Names, out: str) -> DataFrame:
+    """df with (position - 1) / (n - 1) of a row among its key's by value, ties in their given order; 0 for a lone row."""
+    counted = _with(running(df, keys, [value, *ties], _place=F.lit(1)), keys, _n=F.count("*"))
+    return counted.withColumn(out, (F.col("_place") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_place", "_n")
+
+
+def with_peak_share(df: DataFrame, keys: Names, value: str, out: str) -> DataFrame:
+    """df with the value over the key's largest one, unchanged where that isn't positive."""
+    return _with(df, keys, _top=F.max(value)).withColumn(out, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))).drop("_top")
+
+
+def with_zscore(df: DataFrame, keys: Names, value: str, out: str) -> DataFrame:
+    """df with the standard score by the population deviation; deviation 0 counts as 1."""
+    score = (F.col(value) - F.col("_mean")) / F.coalesce(F.nullif("_dev", F.lit(0.0)), F.lit(1.0))
+    return _with(df, keys, _mean=F.avg(value), _dev=F.stddev_pop(value)).withColumn(out, score).drop("_mean", "_dev")
+
+
 def rank_auc(df: DataFrame, keys: Names, score: str, label: str, least: int = 1) -> DataFrame:
     """``(keys, n_pos, n_neg, auc)`` with tied scores' ranks averaged; null with fewer than ``least`` rows of a class.
 
-    Ties are counted before ranking, so ranks are running sums over distinct scores.
+    Ties are counted before ranking, so ranks are running sums over distinct scores, range by range.
     """
     by_score = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("mean_rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(by_score, keys, [score], _upto=F.col("n")).withColumn("mean_rank", F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("mean_rank")).alias("r"), F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"))
     p, n = F.col("n_pos"), F.col("n_neg")
     auc = F.when((p >= least) & (n >= least), (F.col("r") - p * (p + 1) / 2) / (p * n))
@@ -64,10 +93,12 @@ def rank_auc(df: DataFrame, keys: Names, score: str, label: str, least: int = 1)
 
 def extras_at_recall(df: DataFrame, keys: Names, score: str, label: str, ties: Names, target: float) -> DataFrame:
     """By score from the top, where the share of positives found first reaches the target: ``(keys, score, tp, fp, ratio)``."""
-    down = Window.partitionBy(*keys).orderBy(F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y = F.col(label).cast("long")
-    walked = df.withColumn("tp", F.sum(y).over(down)).withColumn("fp", F.sum(1 - y).over(down)).withColumn("_all", F.sum(y).over(Window.partitionBy(*keys)))
-    reached = walked.where((F.col("_all") > 0) & (F.col("tp") >= F.col("_all") * target))
+    rows = df.select(*keys, F.col(score).alias("_score"), (-F.col(score)).alias("_down"), *ties, y.alias("_y"))
+    walked = running(rows, keys, ["_down", *ties], tp=F.col("_y"), fp=1 - F.col("_y")).withColumnRenamed("_score", score)
+    every = rows.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(F.sum("_y").alias("_all"))
+    met = walked.join(every, _same(keys)) if keys else walked.crossJoin(every)  # without keys: one row
+    reached = met.where((F.col("_all") > 0) & (F.col("tp") >= F.col("_all") * target))
     best = reached.groupBy(*keys).agg(F.min_by(F.struct(F.col(score).alias("score"), "tp", "fp"), F.struct("tp", "fp")).alias("b"))
     return best.select(*keys, "b.*", (F.col("b.fp") / F.col("b.tp")).alias("ratio"))
 
@@ -162,10 +193,10 @@ def circular_phase(angle: Column, period: float) -> Column:
 
 def otsu_separation(df: DataFrame, keys: Names, value: str, least: int = 6) -> DataFrame:
     """Four times the largest between-class variance of a split of the sorted values, over the squared span; 0 for few rows."""
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    n0, s0 = F.count("*").over(up), F.sum(value).over(up)
-    split = df.select(*keys, F.col(value).alias("_v"), n0.alias("_n0"), s0.alias("_s0"), F.count("*").over(whole).alias("_n"), F.sum(value).over(whole).alias("_s"), (F.max(value).over(whole) - F.min(value).over(whole)).alias("_span"))
+    # a split between equal values is never better than one beside them, so values are counted first
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    summed = running(counted, keys, ["_v"], _n0=F.col("_c"), _s0=F.col("_c") * F.col("_v"))
+    split = _with(summed, keys, _n=F.sum("_c"), _s=F.sum(F.col("_c") * F.col("_v")), _span=F.max("_v") - F.min("_v"))
     n1 = F.col("_n") - F.col("_n0")
     gap = F.col("_s0") / F.col("_n0") - (F.col("_s") - F.col("_s0")) / F.nullif(n1, F.lit(0))
     between = F.col("_n0") * n1 / (F.col("_n") * F.col("_n")) * gap * gap

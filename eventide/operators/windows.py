@@ -215,24 +215,6 @@ def worst_hole(df: DataFrame, run_keys: Names, t: str, start: str, end: str, wit
     return runs.select(*run_keys, F.when(F.col("_first").isNull(), F.col(end) - F.col(start) + 1).otherwise(hole).alias("hole"))
 
 
-def normalized_rank(value: str, keys: Names, ties: Names) -> Column:
-    """(position - 1) / (n - 1) of a key's rows by value, ties in their given order; 0 for a lone row."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return (F.row_number().over(ordered(keys, [value, *ties])) - 1) / F.greatest(n - 1, F.lit(1))
-
-
-def peak_norm(value: str, keys: Names) -> Column:
-    """The value over the key's largest one, unchanged where that isn't positive."""
-    top = F.max(value).over(Window.partitionBy(*keys))
-    return F.when(top > 0, F.col(value) / top).otherwise(F.col(value))
-
-
-def zscore(value: str, keys: Names) -> Column:
-    """Standard score by the population deviation; deviation 0 counts as 1."""
-    w = Window.partitionBy(*keys)
-    return (F.col(value) - F.avg(value).over(w)) / F.coalesce(F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)), F.lit(1.0))
-
-
 def carry_forward(value: str, keys: Names, order: Names) -> Column:
     """The last value that isn't null."""
     return F.last(value, ignorenulls=True).over(so_far(keys, order))

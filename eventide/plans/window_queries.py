@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from ..operators import windows as w
 from .common import DAY, HOUR, MINUTE, E, events, query, rounded, runs_sql, table
 
@@ -171,17 +172,17 @@ def hot_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, round((row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1) / greatest(count(*) OVER (PARTITION BY p_brand) - 1, 1), 6) AS norm_rank FROM part")
 def norm_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.round(w.normalized_rank("p_retailprice", ["p_brand"], ["p_partkey"]), 6).alias("norm_rank"))
+    return metrics.with_normalized_rank(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", ["p_partkey"], "rank").select("p_partkey", F.round("rank", 6).alias("norm_rank"))
 
 
 @query("SELECT event_id, round((value - avg(value) OVER w) / coalesce(nullif(stddev_pop(value) OVER w, 0), 1), 5) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
 def zscore_band(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", F.round(w.zscore("value", ["event_type"]), 5).alias("z"))
+    return metrics.with_zscore(events(spark, sf).select("event_id", "event_type", "value"), ["event_type"], "value", "z").select("event_id", F.round("z", 5).alias("z"))
 
 
 @query("SELECT event_id, round(CASE WHEN max(value) OVER w > 0 THEN value / max(value) OVER w ELSE value END, 6) AS share FROM events WINDOW w AS (PARTITION BY user_id)")
 def peak_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_id", F.round(w.peak_norm("value", USER), 6).alias("share"))
+    return metrics.with_peak_share(events(spark, sf).select("event_id", "user_id", "value"), USER, "value", "share").select("event_id", F.round("share", 6).alias("share"))
 
 
 @query(f"""WITH {E}, c AS (SELECT *, CASE WHEN event_type = 'purchase' THEN value END AS box FROM e)
