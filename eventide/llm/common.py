@@ -3,8 +3,6 @@ connected components, distributed ranks and prefix sums."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.cuts import checkpointed, shared_folder  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives any executor.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is set
-    only where neither the session nor the context names any and all tasks run in one process (tests).
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[[^\[\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="eventide-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
