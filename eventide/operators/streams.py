@@ -283,3 +283,15 @@ class Leaders(Machine):
     def close(self):
         for ident, bits, members, _ in self.made:
             yield ident, members, f"{bits:0{self.bits}b}"[::-1]
+
+
+class Spaced(Machine):
+    """Times that come at least gap after the last one taken."""
+
+    def __init__(self, gap):
+        self.gap, self.last = gap, None
+
+    def feed(self, t, *_):
+        if self.last is None or t - self.last >= self.gap:
+            self.last = t
+            yield (t,)
