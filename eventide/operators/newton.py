@@ -133,14 +133,14 @@ def leave_one_out(df: DataFrame, group: str, features: Names, label: str, ridge:
 
 
 def leave_one_out_scored(df: DataFrame, group: str, features: Names, label: str, ridge: float, steps: int = 60, out: str = "p") -> DataFrame:
-    """df with ``p`` by the model that has not seen the row's group; null where the group or a feature is null, or no other group has rows."""
+    """df with ``p`` by the model that has not seen the row's group; null where the group or a feature is null or not finite, or no other group has rows."""
     models = leave_one_out(df, group, features, label, ridge, steps)
     rows = [(name, *[[float(v) for v in part] for part in parts]) for name, parts in models.items()]
     table = df.sparkSession.createDataFrame(rows, "_name string, _mean array<double>, _deviation array<double>, _w array<double>")
     score = F.col("_w")[0]
     for i, f in enumerate(features):
         score = score + (F.col(f"`{f}`").cast("double") - F.col("_mean")[i]) / F.col("_deviation")[i] * F.col("_w")[i + 1]
-    p = 1 / (1 + F.exp(-F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), score))))
+    p = F.when(~F.isnan(score) & (F.abs(score) != float("inf")), 1 / (1 + F.exp(-F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), score)))))
     joined = df.join(F.broadcast(table), F.col(group).cast("string") == F.col("_name"), "left")  # one row for each group, as held by the driver already
     return joined.select(*[f"`{c}`" for c in df.columns if c != out], p.alias(out))
 
