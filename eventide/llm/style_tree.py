@@ -4,9 +4,9 @@ The DOMs of a host are merged by element path: every path has the presentation
 styles (child sequences) and the contents (texts) that the host's pages show
 there. Entropies over the host's distinct pages give a path's importance: a
 branch that looks and reads the same everywhere is a site's frame. Low
-branches are cut from every page, inside articles as elsewhere, as are elements
-whose tag, role or class names a frame (navigation, footers, adverts, forms
-...). Pages with the same text count once, and a page that was never seen
+branches are cut from every page, inside articles as elsewhere. Names are a prior: outside
+of articles, elements whose tag, role or class names a frame go (navigation, footers, adverts,
+forms ...), inside them only adverts, forms, notices and reader comments. Pages with the same text count once, and a page that was never seen
 stands beside those that were, so few pages or copies of one text cut nothing.
 A text that repeats under a path with other texts stays in an article.
 """
@@ -57,6 +57,16 @@ FRAME_NAMES = set(
 )
 #: Names that make an article element a part of the frame (comments and teasers are often articles).
 ARTICLE_FRAMES = set("ad advert advertisement comment comments reply replies related recommended promo promoted sponsored teaser".split())
+#: Inside an article, the tags that are no part of it, ...
+INNER_TAGS = FRAME_TAGS - {"header", "fieldset", "math"}
+#: ... the words of names that mark adverts, notices and reader comments there, and boxes that any other frame's word names as a whole.
+INNER_NAMES = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted cookie cookies consent gdpr newsletter subscribe subscription signup paywall "
+    "comments commentlist disqus share sharing social popup modal overlay breadcrumb breadcrumbs pagination pager".split()
+)
+BOXES = set("aside div dl li ol section table ul".split())
+#: A landmark with less than this share of the text outside of frames is no place of its own.
+LEAST_SHARE = 0.1
 #: Names of what an element contains or lacks say nothing of the element.
 ABOUT_OTHERS = re.compile(r"\b(?:has|with|no|without|is)[-_]\S+", re.IGNORECASE)
 LANDMARKS = {"article", "main"}
@@ -67,6 +77,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parents, self.tags, self.paths, self.frames, self.styles = [-1], [""], [0], [False], [[]]
+        self.within = [False]
         self.blocks: list[tuple[int, str]] = []
         self.landmarks: list[int] = []
         self._parse(html)
@@ -74,7 +85,8 @@ class Page:
     def _open(self, tag: str, attributes: str) -> int:
         del self.stack[DEPTH:]
         parent = self.stack[-1]
-        label, frame = tag, tag in FRAME_TAGS
+        inner = self.within[parent]
+        label, frame = tag, tag in (INNER_TAGS if inner else FRAME_TAGS)
         if attributes and not attributes.isspace() and tag not in ("html", "body", "main"):
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             names = f"{found.get('class', '')} {found.get('id', '')}".strip()
@@ -86,13 +98,15 @@ class Page:
                 or "hidden" in found
                 or found.get("aria-hidden", "").lower() == "true"
                 or "display:none" in found.get("style", "").replace(" ", "").lower()
-                or not (ARTICLE_FRAMES if tag == "article" else FRAME_NAMES).isdisjoint(w.lower() for w in NAME.findall(ABOUT_OTHERS.sub(" ", names)))
+                or not (ARTICLE_FRAMES if tag == "article" else INNER_NAMES if inner else FRAME_NAMES).isdisjoint(w.lower() for w in NAME.findall(ABOUT_OTHERS.sub(" ", names)))
+                or (inner and tag in BOXES and not FRAME_NAMES.isdisjoint(names.lower().split()))
             )
         node = len(self.parents)
         self.parents.append(parent)
         self.tags.append(tag)
         self.paths.append(_hash(f"{self.paths[parent]}/{label}"))
         self.frames.append(frame)
+        self.within.append(inner or (tag in LANDMARKS and not frame))
         self.styles.append([])
         if tag in BLOCK and (not self.styles[parent] or self.styles[parent][-1] != label):  # runs of a tag are one style
             self.styles[parent].append(label)
@@ -188,6 +202,12 @@ class Page:
             self.framed.append(self.framed[parent] or (self.frames[node] and node not in wrappers))
             self.inside.append(self.inside[parent] or (self.tags[node] in LANDMARKS and not self.frames[node] and not self.framed[node]))
 
+    def has_landmark(self) -> bool:
+        """If articles hold the page's text: not, if what they hold is next to nothing beside the rest."""
+        inner = sum(len(t) for n, t in self.blocks if self.inside[n] and not self.framed[n])
+        outer = sum(len(t) for n, t in self.blocks if not self.inside[n] and not self.framed[n])
+        return inner > 0 and inner >= LEAST_SHARE * (inner + outer)
+
     def cut_by(self, low: set[int]) -> list[bool]:
         """If a node lies in a low branch. A landmark and what holds it is no branch of its contents."""
         found = [False]
@@ -239,8 +259,8 @@ def features(html: str | None) -> tuple[int, list, dict, list]:
         if page.paths[node] not in above:
             above[page.paths[node]] = [page.paths[a] for a in page.lineage(node)]
     elements = {(page.paths[n], _hash(*page.styles[n])) for n in range(1, len(page.parents)) if page.tags[n] in BLOCK}
-    landmark = any(kind == 5 for kind in leaves.values())
-    content = _hash(*[t for n, t in page.blocks if not page.framed[n] and page.inside[n] == landmark])
+    landmark = page.has_landmark()
+    content = _hash(*[t for n, t in page.blocks if not page.framed[n] and (page.inside[n] or not landmark)])
     return content, [(*leaf, kind) for leaf, kind in leaves.items()], above, list(elements)
 
 
@@ -248,7 +268,7 @@ def extract(html: str | None, low: set[int] = frozenset()) -> str:
     """Main text of a page without its frames and without the branches in low, nor the texts in low that lie in no landmark."""
     page = Page(html or "")
     page.settle()
-    landmark = any(page.inside[n] and not page.framed[n] for n, _ in page.blocks)
+    landmark = page.has_landmark()
     cut = page.cut_by(low) if low else None
     kept = []
     for node, text in page.blocks:

@@ -45,6 +45,10 @@ def test_pages_give_their_articles(spark, sf):
         ("<header>h</header><p>t</p><nav>n</nav>", "t"),
         ("<article class='post has-comments'><p>body</p><section class=comments><article class=comment><p>c</p></article></section></article>", "body"),
         ("<div class=sidebar><article><p>teaser</p></article></div><article><p>the longer story</p></article>", "the longer story"),
+        ("<article><header><h1>T</h1></header><p>Let <math><mi>x</mi></math> be</p><fieldset><p>in a box</p></fieldset><section class=related-work><p>others</p></section></article>", "T Let x be in a box others"),
+        ("<article><div class='search-method'><p>we sought</p></div><p id=copyright-law>rights</p><p class=comment>a remark</p><span class=notice>note</span></article>", "we sought rights a remark note"),
+        ("<article><p>a</p><div class='ad-slot'>buy</div><div class=related>more</div><ul class='share-links'><li>s</ul><div class=comment>c</div><form>f</form><footer>by</footer></article>", "a"),
+        ("<main><h1>T</h1></main><div class=content><p>the whole story is told out here, beside its heading</p></div>", "T the whole story is told out here, beside its heading"),
         ("<main><article><p>a</p></article><article class='related teaser'><p>r</p></article></main>", "a"),
     ],
 )
