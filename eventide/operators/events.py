@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import joins, windows
+from .cuts import checkpointed
+from .metrics import LOWER, UPPER, order_statistics
 
 
 @dataclass(frozen=True)
@@ -33,14 +35,14 @@ MEDIA = EventRules(gap=400_000, tolerance=50_000, fast_period=140_000, fast_min=
 def clip_shift(refs: DataFrame, marks: DataFrame, key: str, t: str, ident: str, limit: int, min_pairs: int) -> DataFrame:
     """``(key, shift)``: median of the marks' deltas to their nearest reference within limit, 0 with fewer than min_pairs of them."""
     near = joins.nearest(marks, refs, [key], t, ident, limit).where("near_t IS NOT NULL")
-    return near.groupBy(key).agg(F.when(F.count("*") >= min_pairs, F.percentile("delta", 0.5)).otherwise(0.0).alias("shift"))
+    found = order_statistics(near.select(key, "delta"), [key], "delta", lower=LOWER, upper=UPPER)
+    return found.select(key, F.when(F.col("n") >= min_pairs, (F.col("lower") + F.col("upper")) / 2).otherwise(0.0).alias("shift"))
 
 
 def rigid_shift(refs: DataFrame, marks: DataFrame, key: str, t: str, ident: str, window: int, least: int = 3) -> DataFrame:
     """``(key, n, shift)``: upper median of the marks' deltas within the window, where there are ``least`` of them."""
     near = joins.nearest(marks, refs, [key], t, ident, window).where("near_t IS NOT NULL")
-    found = near.groupBy(key).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("delta")).alias("_d"))
-    return found.where(F.col("n") >= least).select(key, "n", windows.upper_median(F.col("_d")).alias("shift"))
+    return order_statistics(near.select(key, "delta"), [key], "delta", shift=UPPER).where(F.col("n") >= least).select(key, "n", "shift")
 
 
 def align(marks: DataFrame, shifts: DataFrame, key: str, t: str) -> DataFrame:
@@ -60,11 +62,13 @@ def judge_runs(refs: DataFrame, marks: DataFrame, blind: DataFrame, key: str, t:
     if shift:
         shifts = clip_shift(refs, marks, key, t, ident, rules.shift_max, rules.min_pairs)
         marks = align(marks, shifts, key, t)
-    runs = windows.run_kinds(refs, [key], t, rules.gap, rules.fast_period, rules.fast_min, [ident])
+    marks = checkpointed(marks)  # these three are read several times
+    runs = checkpointed(windows.run_kinds(refs, [key], t, rules.gap, rules.fast_period, rules.fast_min, [ident]))
     kept = joins.overlapping(runs, blind, [key], rules.grid, rules.pad, "left_anti")
     padded = kept.select(key, "run_id", (F.col("start") - rules.tolerance).alias("start"), (F.col("end") + rules.tolerance).alias("end"), F.col("start").alias("s"), F.col("end").alias("e"))
     held = joins.in_intervals(marks.select(F.col(key), F.col(t)), padded, [key], t, rules.grid)
     held = held.select(F.col("r_" + key).alias(key), F.col("r_run_id").alias("run_id"), F.col("r_s").alias("start"), F.col("r_e").alias("end"), F.col(t), F.lit(True).alias("in_run"))
+    held = checkpointed(held)
     counted = held.groupBy(key, "run_id").agg(F.count("*").alias("found"))
     holes = windows.worst_hole(held, [key, "run_id"], t, "start", "end", "in_run")
     judged = kept.join(counted, [key, "run_id"], "left").join(holes.select(key, "run_id", "hole"), [key, "run_id"], "left")

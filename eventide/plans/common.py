@@ -34,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """``(event_id, user_id, event_type, value, props, t)`` with t in microseconds; of some event types only, if any are named."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    rows = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")  # of any session's time zone
+    rows = table(spark, sf_dir, "events").withColumn("t", since).drop("ts")
     return rows.where(F.col("event_type").isin(*kinds)) if kinds else rows
 
 
