@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from eventide.llm import langid, license_rules, line_dedup, merkle, queries, sentencepiece_codec, style_tree
@@ -89,6 +90,51 @@ def test_fingerprints(spark, sf):
     assert len(set(prints.values())) == len(prints)
 
 
+def plain_tree(text):
+    """Leaves ``(code, characters)`` by section and paragraph."""
+    pattern = re.compile(r"[^.!?]{1,96}[.!?]{0,32}|[.!?]{1,32}", re.DOTALL)
+    code = lambda leaf: (xxhash.xxh64_intdigest(leaf.encode(), 42) & ~255 & (2**64 - 1)) | min(len(leaf), 255)
+    return [[[(code(m[0]), min(len(m[0]), 255)) for m in pattern.finditer(p)] for p in s.split("\n")] for s in (text or "").split("\n\n")]
+
+
+def plain_print(tree):
+    digits = lambda p: "".join(f"{c:016X}" for c, _ in p)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    root = sha(";".join(sha(",".join(sha(digits(p)) for p in s)) for s in tree))
+    return f"{root}:" + ";".join(",".join(digits(p) for p in s) for s in tree).lower()
+
+
+def plain_likeness(a, b):
+    a, b = ([leaf for s in t for p in s for leaf in p] for t in (a, b))
+    chars = lambda leaves: sum(n for _, n in leaves)
+    if not chars(a) + chars(b):
+        return 1.0
+
+    def begins(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return chars(x[:n])
+
+    in_place = 2 * min(begins(a, b) + begins(a[::-1], b[::-1]), chars(a), chars(b)) / (chars(a) + chars(b))
+    return max(in_place, 2 * chars(set(a) & set(b)) / (chars(set(a)) + chars(set(b))))
+
+
+def test_fingerprints_and_likeness_are_the_brute_ones(spark, sf):
+    """Every document of the table, and texts of odd shapes, some very long."""
+    draw = random.Random(11)
+    odd = ["", "\n", "\n\n\n", "...!?", "é" * 400, "a.b!c?" * 50, "Long one. " * 20_000, "\n\nx", *["".join(draw.choice("ab .!?\n") for _ in range(draw.randrange(300))) for _ in range(40)]]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1 - i, t) for i, t in enumerate(odd)] + [(-100, None)]
+    got = {r.doc_id: r for r in merkle.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    docs = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        third = len(text) // 3
+        own, edited, following = plain_tree(text), plain_tree(text[: len(text) - third] + after[:third]), plain_tree(after)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(own), plain_print(edited))
+        assert r.near_edited == pytest.approx(plain_likeness(own, edited), abs=1e-12) and r.near_next == pytest.approx(plain_likeness(own, following), abs=1e-12)
+
+
 def test_leaves_part_the_text(spark):
     random.seed(4)
     texts = ["", "a", "...", "x" * 500, "One. Two!? Three\n\nfour\n\n\nfive.", "é" * 97 + ". ü\n", "".join(random.choice("ab .!?\n") for _ in range(3000))]
