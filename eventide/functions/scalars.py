@@ -184,3 +184,9 @@ def iso_date(t: Column) -> Column:
 def percent(share: Column, digits: int = 1) -> Column:
     """Share as a percentage to show; a null or undefined one is a dash."""
     return F.when(share.isNull() | F.isnan(share), "-").otherwise(F.concat(F.round(share * 100, digits).cast(f"decimal(18,{digits})").cast("string"), F.lit("%")))
+
+
+def glyph_like(width: Column, height: Column, fill: Column, frame_height: Column) -> Column:
+    """If a box may be a character: its height 0.6 to 6 % of the frame's, its width 0.15 to 1.3 of its height, and 0.15 to 0.92 of it filled."""
+    share = height / frame_height
+    return share.between(0.006, 0.06) & (width / F.nullif(height, F.lit(0))).between(0.15, 1.3) & fill.between(0.15, 0.92)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import reports
+
+Names = Sequence[str]
 #: Fixed value: a parabola flatter than this has no lowest point.
 FLAT = 1e-9
 
@@ -91,3 +96,35 @@ def shifts(grids: DataFrame, ident: str, grid: str, height: int, width: int, mos
     before = grids.select((F.col(ident) + 1).alias(ident), cells.alias("_before"))
     met = grids.select(ident, cells.alias("_now")).join(before, ident)
     return met.withColumn("_s", shift(F.col("_before"), F.col("_now"), height, width, most, blocks)).where("_s IS NOT NULL").select(ident, "_s.*")
+
+
+def steady_region(grids: DataFrame, keys: Names, grid: str, height: int, width: int, low: float, high: float, floor: float = 0.0, least: int = 1) -> DataFrame:
+    """``(keys, x, y, size)``: the largest region, connected by edges or corners, of the cells that vary a little: a cell's deviation over a key's grids lies
+    between the low and the high quantile of all cells (sorted[floor(n q)]), and isn't under floor. Regions of fewer than ``least`` cells don't count.
+
+    A key's grids meet as one sum for each cell.
+    """
+    cells = grids.select(*keys, F.posexplode(F.col(grid).cast("array<double>")).alias("_i", "_v")).where(F.col("_i") < height * width)
+    moved = cells.groupBy(*keys, "_i").agg(F.stddev_pop("_v").alias("_sd"))
+    every = moved.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(F.sort_array(F.collect_list("_sd")).alias("_all"))  # height x width values
+    at = lambda q: F.get("_all", F.floor(F.size("_all") * q).cast("int"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_of_" + k))
+    held = moved.join(every, same).where(F.col("_sd").between(F.greatest(at(low), F.lit(floor)), at(high)))
+    placed = held.select(*keys, (F.col("_i") % width).alias("x"), F.floor(F.col("_i") / width).alias("y"))
+    return reports.grid_component(placed, keys, "x", "y", corners=True).where(F.col("size") >= least)
+
+
+def region_motion(grids: DataFrame, region: DataFrame, keys: Names, ident: str, grid: str, width: int) -> DataFrame:
+    """``(keys, ident, level, change)``: a grid's mean over its key's region (0 without one), and its mean absolute difference there from the grid of the ident before (null without one)."""
+    places = region.groupBy(*[F.col(k).alias("_of_" + k) for k in keys]).agg(F.collect_list((F.col("y") * width + F.col("x") + 1).cast("int")).alias("_at"))  # at most a grid's cells
+    before = grids.select((F.col(ident) + 1).alias("_next"), F.col(grid).cast("array<double>").alias("_before"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_of_" + k))
+    met = grids.select(*keys, ident, F.col(grid).cast("array<double>").alias("_now")).join(places, same, "left").join(before, F.col(ident) == F.col("_next"), "left")
+    mean = lambda f: F.aggregate("_at", F.lit(0.0), lambda s, i: s + f(i)) / F.size("_at")
+    level = F.coalesce(mean(lambda i: F.element_at("_now", i)), F.lit(0.0))
+    change = F.when(F.col("_before").isNotNull(), F.coalesce(mean(lambda i: F.abs(F.element_at("_now", i) - F.element_at("_before", i))), F.lit(0.0)))
+    return met.select(*keys, ident, level.alias("level"), change.alias("change"))

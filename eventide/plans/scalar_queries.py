@@ -106,3 +106,10 @@ def net_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Two stacked convolutions over each label's vectors (their first two entries) and a sigmoid."""
     rows = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("label", "vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("mel"))
     return signal.net_probability(rows, {"layers": [FIRST, SECOND]}, "label", "vec_id").withColumn("p", F.round("p", 6))
+
+
+@query("""SELECT p_partkey FROM part WHERE (p_size % 23 + 1) / (200 + p_partkey % 300) BETWEEN 0.006e0 AND 0.06e0 AND (p_partkey % 17 + 1) / (p_size % 23 + 1) BETWEEN 0.15e0 AND 1.3e0 AND (p_partkey % 101) / 100 BETWEEN 0.15e0 AND 0.92e0""")
+def glyph_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts whose boxes could be characters."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf, "part").where(s.glyph_like(k % 17 + 1, n % 23 + 1, k % 101 / 100, 200 + k % 300)).select("p_partkey")

@@ -105,6 +105,22 @@ def shift_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("residual", "difference", "x", "y", "warp")})
 
 
+@query("""WITH RECURSIVE v AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT label, i, stddev_pop(v) AS sd FROM v GROUP BY label, i), q AS (SELECT label, list_sort(list(sd))[CAST(floor(count(*) * 0.1e0) AS INT) + 1] AS lo, list_sort(list(sd))[CAST(floor(count(*) * 0.45e0) AS INT) + 1] AS hi FROM d GROUP BY label),
+c AS (SELECT d.label, i, i % 8 AS x, i // 8 AS y, d.label * 1000 + i AS id FROM d JOIN q USING (label) WHERE sd BETWEEN lo AND hi),
+edge AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.label = b.label AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1),
+reach AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE r.root < e.b), lab AS (SELECT c.label, c.i, min(r.root) AS component FROM c JOIN reach r ON r.id = c.id GROUP BY c.label, c.i),
+s AS (SELECT label, component, count(*) AS size FROM lab GROUP BY label, component), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, component) AS k FROM s),
+m AS (SELECT l.label, l.i, k.size FROM lab l JOIN k ON k.label = l.label AND k.component = l.component WHERE k.k = 1 AND k.size >= 4),
+r AS (SELECT e.label, e.vec_id, b.vec_id IS NOT NULL AS paired, avg(e.embedding[m.i + 1]::DOUBLE) AS level, avg(abs(e.embedding[m.i + 1]::DOUBLE - b.embedding[m.i + 1]::DOUBLE)) AS change FROM embeddings e LEFT JOIN m USING (label) LEFT JOIN embeddings b ON b.vec_id = e.vec_id - 1 GROUP BY ALL)
+SELECT label, vec_id, round(coalesce(level, 0), 6) AS level, round(CASE WHEN paired THEN coalesce(change, 0) END, 6) AS change FROM r""")
+def masked_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as grids: level and change within each label's largest region of cells that vary a little."""
+    rows = table(spark, sf, "embeddings")
+    region = motion.steady_region(rows, ["label"], "embedding", 8, 8, 0.1, 0.45, least=4)
+    return motion.region_motion(rows, region, ["label"], "vec_id", "embedding", 8).withColumns({c: F.round(c, 6) for c in ("level", "change")})
+
+
 CLIP, FADE, BUDGET, OUTRO = 12, 4, 20, 9
 BOOM = "r AS (SELECT j, ((j * 7) % 11 - 5) / 8.7e0 AS r FROM range(12) t(j))"
 
