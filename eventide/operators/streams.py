@@ -295,3 +295,25 @@ class Spaced(Machine):
         if self.last is None or t - self.last >= self.gap:
             self.last = t
             yield (t,)
+
+
+class Rightward(Machine):
+    """Rows (side, x, y, h, ident) of a cell from the right, asking items (side 0) before places (side 1) of the same x: an asking item gets
+    the nearest place that it reaches, of equals that of the smallest ident. Of places of equal height, only the nearest is held."""
+
+    def __init__(self, reach: float, drift: float):
+        self.reach, self.drift, self.held = reach, drift, {}
+
+    def feed(self, side, x, y, h, ident):
+        if side:
+            at, known = self.held.pop(y, (None, None))
+            self.held[y] = x, min(ident, known) if at == x else ident  # the last is the nearest
+            return
+        best = None
+        for other, (at, right) in reversed(self.held.items()):
+            if at - x > self.reach * h or best and at > best[0]:
+                break
+            if abs(other - y) <= self.drift * h:
+                best = min(best, (at, right)) if best else (at, right)
+        if best:
+            yield ident, *best

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import joins
+from . import joins, streams
 from . import windows as w
 
 Names = Sequence[str]
@@ -39,15 +39,25 @@ def in_rectangles(points: DataFrame, boxes: DataFrame, keys: Names, grid: int, h
 
 def right_neighbours(items: DataFrame, keys: Names, ident: str, reach: float, drift: float, grid: int) -> DataFrame:
     """``(ident, right)``: the item of the key that begins nearest to the right of an item ``x, y, h``, within
-    reach heights across and drift heights down. Cells of the grid bound whom an item meets."""
-    cells = F.explode(F.sequence(F.floor(F.col("x") / grid).cast("long"), F.floor((F.col("x") + reach * F.col("h")) / grid).cast("long")))
-    left = items.select(*keys, F.col(ident), "x", "y", "h", cells.alias("_cell"))
-    right = items.select(*[F.col(k).alias("_k" + k) for k in keys], F.col(ident).alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.floor(F.col("x") / grid).cast("long").alias("_at"))
-    condition = (F.col("_cell") == F.col("_at")) & (F.col("_x") > F.col("x")) & (F.col("_x") - F.col("x") <= reach * F.col("h")) & (F.abs(F.col("_y") - F.col("y")) <= drift * F.col("h"))
+    reach heights across and drift heights down; the smaller ident on ties. Items of a null key meet nothing.
+
+    An item is sent to the cells of a grid that its reach covers and to its own; a cell's rows pass in one sweep from the right, so an item meets
+    no more than one of each height above it, however crowded the cell is.
+    """
+    named = F.lit(True)
     for k in keys:
-        condition = condition & (left[k] == right["_k" + k])
-    met = left.join(right, condition)
-    return met.groupBy(ident).agg(F.min_by("_id", F.struct("_x", "_id")).alias("right"))
+        named = named & F.col(k).isNotNull()
+    cell = lambda c: F.floor(c / grid).cast("long")
+    across, down = reach * F.col("h"), drift * F.col("h")
+    slack = F.lit(1e-6)  # rounding at a cell's edge; the sweep judges exactly
+    asking = items.where(named).withColumn("_cx", F.explode(F.sequence(cell(F.col("x")), cell(F.greatest(F.col("x"), F.col("x") + across + slack)))))
+    asking = asking.withColumn("_cy", F.explode(F.sequence(cell(F.col("y") - F.abs(down) - slack), cell(F.col("y") + F.abs(down) + slack))))
+    one = lambda df, side: df.select(*keys, "_cx", "_cy", (-F.col("x")).alias("_down"), F.lit(side).alias("_side"), "x", "y", "h", F.col(ident).alias("_id"))
+    placed = items.where(named).where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cx": cell(F.col("x")), "_cy": cell(F.col("y"))})
+    rows = one(asking, 0).unionByName(one(placed, 1))
+    kind, width = items.schema[ident].dataType.simpleString(), items.schema["x"].dataType.simpleString()
+    met = streams.streamed(rows, [], [*keys, "_cx", "_cy"], ["_down", "_side"], ["_side", "x", "y", "h", "_id"], f"_asked {kind}, _x {width}, _right {kind}", lambda: streams.Rightward(reach, drift))
+    return met.groupBy(F.col("_asked").alias(ident)).agg(F.min_by("_right", F.struct("_x", "_right")).alias("right"))
 
 
 def mode_first(df: DataFrame, keys: Names, value: str, order: str, least_share: float = 0.0) -> DataFrame:
