@@ -2,7 +2,9 @@
 
 import random
 
-from eventide.operators import motion, tracking
+import numpy as np
+from eventide.operators import blocks, motion, tracking
+from eventide.plans import registry
 
 
 def plan(df) -> str:
@@ -29,3 +31,27 @@ def test_region_motion_of_odd_rows(spark):
     found = motion.region_motion(grids, region, ["k"], "id", "g", 2)
     # a null vector has no values but is there; a null key has no region
     assert sorted((r.id, r.level, r.change) for r in found.collect()) == [(0, 1.5, None), (1, 0.0, 0.0), (2, 3.0, 0.0), (3, 0.0, 0.0), (4, 2.0, 1.0)]
+
+
+def vectors_of(spark, n, keys=2):
+    draw = random.Random(7)
+    rows = [(i, i % keys, [draw.gauss(0, 1) for _ in range(6)]) for i in range(n)]
+    rows += [(n + i, rows[i][1], rows[i][2]) for i in range(20)]  # copies
+    return rows, spark.createDataFrame(rows, "id long, k int, v array<float>")
+
+
+def test_blocks_grow_beyond_few(spark, monkeypatch):
+    rows, df = vectors_of(spark, 300)
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    monkeypatch.setattr(blocks, "FEW", 3)
+    monkeypatch.setattr(blocks, "STRIPE", 16)
+    assert blocks._dealt(df, ["k"], "id", "v").agg({"blocks": "max"}).first()[0] == 3  # shipped: rows times blocks
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, _, v in rows}
+    found = blocks.top_partners(df.where("id % 5 = 0"), df, ["k"], "id", "v", 3).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.a, []).append((r.rank, r.b))
+    for i, k, _ in rows:
+        if i % 5 == 0:
+            want = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j, m, _ in rows if m == k and j != i)[:3]
+            assert [b for _, b in sorted(got[i])] == [j for _, j in want]
