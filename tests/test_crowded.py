@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from eventide.operators import blocks, motion, tracking
+from eventide.operators import blocks, graphs, motion, tracking
 from eventide.plans import registry
 
 
@@ -55,3 +55,21 @@ def test_blocks_grow_beyond_few(spark, monkeypatch):
         if i % 5 == 0:
             want = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j, m, _ in rows if m == k and j != i)[:3]
             assert [b for _, b in sorted(got[i])] == [j for _, j in want]
+
+
+def test_dominant_component_of_query_links(spark, sf):
+    """Queries meet all rows in blocks, not as rows of a join."""
+    assert "zip_with" not in plan(registry.QUERIES["dominant_component"](spark, sf))
+    rows, df = vectors_of(spark, 120)
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, _, v in rows}
+    label = {i: i for i in unit}
+    changed = True
+    while changed:
+        changed = False
+        for i, k, _ in rows:
+            for j, m, _ in rows if i % 20 == 0 else []:
+                if m == k and i != j and unit[i] @ unit[j] >= 0.7 and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    edges = blocks.linked(df, ["k"], "id", "v", 0.7, df.where("id % 20 = 0"))
+    assert {r.id: r.component for r in graphs.components(df.select("id"), edges).collect()} == label
