@@ -73,3 +73,7 @@ def test_dominant_component_of_query_links(spark, sf):
                     changed = True
     edges = blocks.linked(df, ["k"], "id", "v", 0.7, df.where("id % 20 = 0"))
     assert {r.id: r.component for r in graphs.components(df.select("id"), edges).collect()} == label
+
+
+def test_component_gate_meets_in_blocks(spark, sf):
+    assert "zip_with" not in plan(registry.QUERIES["component_gate"](spark, sf))
