@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
+from .cuts import checkpointed
 
 
 def logistic(df: DataFrame, features: Sequence[str], label: str, strength: float = 0.05):
@@ -40,7 +41,8 @@ def scored(model, df: DataFrame, out: str = "p") -> DataFrame:
 
 def cross_scored(df: DataFrame, group: str, features: Sequence[str], label: str, k: int) -> DataFrame:
     """df with ``fold`` and ``p`` from the model of the other folds; folds hold whole groups."""
-    folded = df.join(metrics.group_folds(df, group, k), group)
+    df = checkpointed(df)  # each fold's model reads the rows many times
+    folded = checkpointed(df.join(metrics.group_folds(df, group, k), group))
     parts = [scored(logistic(folded.where(F.col("fold") != i), features, label), folded.where(F.col("fold") == i)) for i in range(k)]
     out = parts[0]
     for part in parts[1:]:

@@ -77,3 +77,11 @@ def test_dominant_component_of_query_links(spark, sf):
 
 def test_component_gate_meets_in_blocks(spark, sf):
     assert "zip_with" not in plan(registry.QUERIES["component_gate"](spark, sf))
+
+
+def test_folds_read_checkpointed_rows(spark, sf):
+    from eventide.operators import learning
+    from eventide.plans import model_queries
+
+    found = learning.cross_scored(model_queries.quality_features(spark, sf), "source", model_queries.FEATURES, "quality", 2)
+    assert "documents.parquet" not in plan(found)  # the models of all folds read the features once
