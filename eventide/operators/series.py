@@ -72,9 +72,11 @@ def _describe(shape: Shape, places: Column, values: Column, before: Column, afte
 
 
 def placed(df: DataFrame, keys: Names, order: Names, value: str, keep: Names = ()) -> DataFrame:
-    """``(keys, i, v, keep)``: samples numbered from 0 in order; a hot key is numbered range by range. Null values count as 0."""
+    """``(keys, i, v, keep)``: samples numbered from 0 in order; a hot key is numbered range by range. Null values count as 0.
+
+    The numbers are checkpointed: what reads the samples several times doesn't sort them anew."""
     rows = df.select(*keys, *order, *keep, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
-    return running(rows, keys, order, _place=F.lit(1)).select(*keys, (F.col("_place") - 1).cast("long").alias("i"), "v", *keep)
+    return checkpointed(running(rows, keys, order, _place=F.lit(1)).select(*keys, (F.col("_place") - 1).cast("long").alias("i"), "v", *keep))
 
 
 def peaks(samples: DataFrame, keys: Names) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from eventide.operators import blocks, graphs, motion, tracking
+from eventide.operators import blocks, graphs, motion, series, tracking
 from eventide.plans import registry
 
 
@@ -85,3 +85,10 @@ def test_folds_read_checkpointed_rows(spark, sf):
 
     found = learning.cross_scored(model_queries.quality_features(spark, sf), "source", model_queries.FEATURES, "quality", 2)
     assert "documents.parquet" not in plan(found)  # the models of all folds read the features once
+
+
+def test_placed_samples_are_numbered_once(spark):
+    rows = spark.createDataFrame([(i % 3, i, float(i)) for i in range(30)], "k int, t int, x double")
+    found = series.placed(rows, ["k"], ["t"], "x")
+    assert {(r.k, r.i, r.v) for r in found.collect()} == {(i % 3, i // 3, float(i)) for i in range(30)}
+    assert "Window" not in plan(found)  # whoever reads the samples repeatedly doesn't sort them again
