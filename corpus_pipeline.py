@@ -36,7 +36,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 at least.
 
-    The one of the smallest id stays, one row of it if that id repeats with an equal text. Null and blank texts are one group; rows of a
+    Candidates meet by op1's SimHash fingerprints and their covering tables, those beyond its radius by MinHash bands as well; all are verified exactly. The one of the smallest id stays, one row of it if that id repeats with an equal text. Null and blank texts are one group; rows of a
     null id all stay, as nothing names them. Texts are compared whole, whatever their length. An empty table gives none.
     """
     return simhash.keep_representatives(docs, find=minhash.near_duplicates)

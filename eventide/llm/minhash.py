@@ -1,12 +1,14 @@
 """Near-duplicates by Jaccard similarity of word shingles, for the pipeline's SimHash stage.
 
-At 0.8, two sets differ in 10 of 64 fingerprint bits on average and in up to 20
-at times; covering masks for such a radius number 2^18 and more. So candidates
-come from MinHash bands here, and links are verified on the sets themselves.
+Candidates come from the covering tables of the texts' SimHash fingerprints:
+all pairs within the radius meet there. At 0.8, two sets differ in 10 of 64
+fingerprint bits on average and in up to 20 at times; covering masks for such a
+radius number 2^18 and more. So MinHash bands are added for the pairs beyond
+the radius. Links of both are verified on the sets themselves.
 
-Texts of equal shingle sets are one class. A class has BANDS keys of ROWS
-minima each; two sets of similarity s miss each other in all bands with
-probability ``(1 - s^ROWS)^BANDS`` (3e-5 at 0.8).
+Texts of equal shingle sets are one class. A class has the covering keys of
+its texts' fingerprints, and BANDS keys of ROWS minima each; two sets of similarity
+s miss each other in all bands with probability ``(1 - s^ROWS)^BANDS`` (3e-5 at 0.8).
 
 Every pair of a bucket that no other link joins is verified (see buckets).
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .buckets import crowded, linked
 from .common import bounded_batches, checkpointed
+from .simhash import covering, simhash
 
 SEED = 42
 SHINGLE = 5
@@ -131,6 +134,13 @@ def similar(least: float):
     return links
 
 
+def fingerprint_keys(found: DataFrame) -> DataFrame:
+    """``(node, weight, band, key)``: covering keys of the fingerprints of every class's texts, numbered after the bands. Blank texts are one class and need none."""
+    prints = found.where("weight > 0 AND id IS NOT NULL").select("node", "weight", "fp").distinct()
+    keys = prints.select("node", "weight", F.explode(covering(F.col("fp"))).alias("k"))
+    return keys.select("node", "weight", (F.col("k.band").cast("int") + BANDS).alias("band"), "k.key").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``(<id_col>, component_id)`` for every row of docs: texts link whose word shingles have that Jaccard similarity.
 
@@ -141,9 +151,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = checkpointed(rows.select("id", sketch(F.col("text"), shingle).alias("s")).select("id", "s.node", "s.weight", "s.bands"))
+    found = checkpointed(rows.select("id", sketch(F.col("text"), shingle).alias("s"), simhash(F.col("text")).alias("fp")).select("id", "s.node", "s.weight", "s.bands", "fp"))
     classes = checkpointed(found.groupBy("node").agg(F.min("id").alias("least_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")).where("least_id IS NOT NULL"))
-    keys = classes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
+    keys = classes.select("node", "weight", F.posexplode("bands").alias("band", "key")).unionByName(fingerprint_keys(found))
     members = checkpointed(crowded(keys))
     close = members.select("node").distinct()
     ids = checkpointed(classes.join(close, "node", "left_semi").select(F.col("least_id").alias("id")).distinct())

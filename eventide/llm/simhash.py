@@ -80,11 +80,15 @@ def close(radius: int = RADIUS):
     return links
 
 
+def covering(fp: Column, radius: int = RADIUS) -> Column:
+    """Array of ``(band, key)``: the fingerprint's bucket in each of the tables that cover the radius."""
+    return F.array(*[F.struct(F.lit(v).cast("byte").alias("band"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))])
+
+
 def linked_fingerprints(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Star edges ``(a, b)`` from nodes of ``classes (fp, node)`` (distinct fp) to the smallest
     node of their component of "at most radius differing bits"."""
-    tables = [F.struct(F.lit(v).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))]
-    keys = classes.select("node", F.explode(F.array(*tables)).alias("k")).select("k.band", "k.key", "node", F.lit(1).cast("long").alias("weight"))
+    keys = classes.select("node", F.explode(covering(F.col("fp"), radius)).alias("k")).select("k.band", "k.key", "node", F.lit(1).cast("long").alias("weight"))
     members = checkpointed(crowded(keys))
     return linked(members, classes.select("node", "fp"), close(radius), BLOCK, BLOCK).select(F.col("node").alias("a"), F.col("component").alias("b"))
 
