@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import streams
-from .cuts import checkpointed
+from .cuts import checkpointed, running
 from .streams import chained, streamed
 
 Names = Sequence[str]
+#: Boxes of a group's first tier (twice as many with the one after it).
+TIER = 256
 
 
 def hysteresis_peaks(df: DataFrame, keys: Names, order: Names, t: str, value: str, threshold: float, valley: float) -> DataFrame:
@@ -113,8 +115,9 @@ class _Packed(_FirstTwo):
 def suppress_boxes(df: DataFrame, keys: Names, ident: str, score: str, kind: str, limit: float, grid: float = 16.0) -> DataFrame:
     """Boxes ``x, y, w, h`` (corner and size) that stay: by score (then ident), unless one kept of the same kind overlaps by IoU above limit.
 
-    Boxes meet in the cells of a grid, each pair in one cell only. Then in rounds: a box that no undecided better one overlaps stays, and those
-    that it overlaps go; rounds are as many as the longest chain of decisions. Equal boxes are one from the start: the best stands for them.
+    Equal boxes are one from the start: the best stands for them. A group's boxes are decided in tiers by rank, each as large as all before it:
+    first those go that a box kept by then overlaps, so that few of a crowded place meet each other. Within a tier boxes meet in the cells of a grid, each pair in one
+    cell only, and then in rounds: a box that no undecided better one overlaps stays, and those that it overlaps go; rounds are as many as the longest chain of decisions.
     """
     group = [*keys, kind]
     sides = [F.col(c).cast("double").alias("_" + c) for c in "xywh"]
@@ -123,28 +126,46 @@ def suppress_boxes(df: DataFrame, keys: Names, ident: str, score: str, kind: str
     solid = rows.where("_w > 0 AND _h > 0")
     order = F.struct((-F.col(score)).alias("s"), F.col(ident).alias("id"))
     first = checkpointed(solid.groupBy(*group, "_x", "_y", "_w", "_h").agg(F.min(order).alias("o"))) if limit < 1 else checkpointed(solid.withColumn("o", order))
+    ranked = running(first.withColumns({"_s": F.col("o.s"), "_id": F.col("o.id")}), group, ["_s", "_id"], _place=F.lit(1))
+    ranked = checkpointed(ranked.withColumn("_tier", F.greatest(F.lit(0), F.floor(F.log2(F.col("_place") / TIER)).cast("int"))))
+    kept = None
+    for tier in range((ranked.agg(F.max("_tier")).first()[0] or 0) + 1):
+        here = ranked.where(F.col("_tier") == tier)
+        if kept is not None:
+            gone = _overlapping(kept, here, group, limit, grid).select(F.col("b").alias("_id")).distinct()
+            here = checkpointed(here.join(gone, "_id", "left_anti"))
+        edges, left = checkpointed(_overlapping(here, here, group, limit, grid)), checkpointed(here.select(F.col("_id").alias("id")))
+        stay = None
+        while True:
+            blocked = edges.select(F.col("b").alias("id")).distinct()
+            clear = checkpointed(left.join(blocked, "id", "left_anti"))
+            stay = clear if stay is None else stay.unionByName(clear)
+            if edges.isEmpty():
+                break
+            gone = edges.join(clear.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+            left = checkpointed(left.join(clear, "id", "left_anti").join(gone, "id", "left_anti"))
+            edges = checkpointed(edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+        decided = checkpointed(here.join(stay.select(F.col("id").alias("_id")), "_id", "left_semi").select(*group, "o", "_x", "_y", "_w", "_h"))
+        kept = decided if kept is None else kept.unionByName(decided)
+    kept = kept.select(F.col("o.id").alias("id"))
+    stay = solid.join(kept.select(F.col("id").alias("_id")), solid[ident] == F.col("_id"), "left_semi")
+    return stay.select(*group, ident, score).unionByName(flat)
+
+
+def _overlapping(better: DataFrame, worse: DataFrame, group: Names, limit: float, grid: float) -> DataFrame:
+    """``(a, b)``: idents of boxes ``o, _x, _y, _w, _h`` and of those after them in o that they overlap by IoU above limit; each pair meets in one cell."""
     cell = lambda c: F.floor(c / grid).cast("long")
-    laid = first.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x")), cell(F.col("_x") + F.col("_w"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y")), cell(F.col("_y") + F.col("_h")))))
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        laid = df.withColumn("_cx", F.explode(F.sequence(cell(F.col("_x")), cell(F.col("_x") + F.col("_w"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("_y")), cell(F.col("_y") + F.col("_h")))))
+        return laid.select(*[F.col(k).alias(p + k) for k in group], F.col("o").alias(p + "o"), *[F.col(c).alias(p + c) for c in ("_x", "_y", "_w", "_h", "_cx", "_cy")])
+
     box = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in "xywh"])
-    named = lambda p: laid.select(*[F.col(k).alias(p + k) for k in group], F.col("o").alias(p + "o"), *[F.col(c).alias(p + c) for c in ("_x", "_y", "_w", "_h", "_cx", "_cy")])
     same = (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & (F.col("ao") < F.col("bo"))
     same = same & (F.col("a_cx") == cell(F.greatest("a_x", "b_x"))) & (F.col("a_cy") == cell(F.greatest("a_y", "b_y")))
     for k in group:
         same = same & F.col("a" + k).eqNullSafe(F.col("b" + k))
-    edges = named("a").join(named("b"), same).where(iou(box("a"), box("b")) > limit).select(F.col("ao.id").alias("a"), F.col("bo.id").alias("b"))
-    edges, left = checkpointed(edges), checkpointed(first.select(F.col("o.id").alias("id")))
-    kept = None
-    while True:
-        blocked = edges.select(F.col("b").alias("id")).distinct()
-        clear = checkpointed(left.join(blocked, "id", "left_anti"))
-        kept = clear if kept is None else kept.unionByName(clear)
-        if edges.isEmpty():
-            break
-        gone = edges.join(clear.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        left = checkpointed(left.join(clear, "id", "left_anti").join(gone, "id", "left_anti"))
-        edges = checkpointed(edges.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
-    stay = solid.join(kept.select(F.col("id").alias("_id")), solid[ident] == F.col("_id"), "left_semi")
-    return stay.select(*group, ident, score).unionByName(flat)
+    return named(better, "a").join(named(worse, "b"), same).where(iou(box("a"), box("b")) > limit).select(F.col("ao.id").alias("a"), F.col("bo.id").alias("b"))
 
 
 def iou(a: Column, b: Column) -> Column:

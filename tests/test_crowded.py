@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
-from eventide.operators import blocks, graphs, motion, series, tracking
+from eventide.operators import blocks, folds, graphs, motion, series, tracking
 from eventide.plans import registry
+from pyspark.sql import functions as F
 
 
 def plan(df) -> str:
@@ -92,3 +93,23 @@ def test_placed_samples_are_numbered_once(spark):
     found = series.placed(rows, ["k"], ["t"], "x")
     assert {(r.k, r.i, r.v) for r in found.collect()} == {(i % 3, i // 3, float(i)) for i in range(30)}
     assert "Window" not in plan(found)  # whoever reads the samples repeatedly doesn't sort them again
+
+
+def test_boxes_are_decided_in_tiers(spark, monkeypatch):
+    draw = random.Random(9)
+    boxes = [(i, i % 2, float(draw.randrange(5)), draw.randrange(30), draw.randrange(20), draw.randrange(5, 15), draw.randrange(5, 12)) for i in range(400)]
+    met, overlapping = [], folds._overlapping
+    monkeypatch.setattr(folds, "TIER", 8)
+    monkeypatch.setattr(folds, "_overlapping", lambda *a: met.append((found := overlapping(*a)).count()) or found)
+    df = spark.createDataFrame(boxes, "id long, k int, score double, x long, y long, w long, h long").withColumn("kind", F.lit("a"))
+    got = {r.id for r in folds.suppress_boxes(df, ["k"], "id", "score", "kind", 0.45).collect()}
+    kept, pairs = [], 0
+    for i, k, _, x, y, w, h in sorted(boxes, key=lambda b: (-b[2], b[0])):
+        def over(b):
+            shared = max(0, min(x + w, b[3] + b[5]) - max(x, b[3])) * max(0, min(y + h, b[4] + b[6]) - max(y, b[4]))
+            return b[1] == k and shared / (w * h + b[5] * b[6] - shared) > 0.45
+        pairs += sum(over(b) for b in boxes if b[0] != i)
+        if not any(over(b) for b in kept):
+            kept.append((i, k, _, x, y, w, h))
+    assert got == {b[0] for b in kept}
+    assert sum(met) < pairs / 4  # half of pairs would be all of them
