@@ -211,6 +211,28 @@ def test_anchors(spark):
     assert anchors.find_anchors(df.limit(0), ["k"], "i", 8.0, 3.0, 4, 3, 0.5).collect() == []
 
 
+@pytest.mark.parametrize("bounds", [(8, 5), None])
+def test_anchors_meet_few_copies_in_few_jobs(spark, monkeypatch, bounds):
+    """Keys with and without a grid, spots on its edges, members by array and by ranks, a key that ends early, infinite and missing coordinates."""
+    draw = random.Random(12)
+    spots = [(draw.choice([1, 1, 1, 2, None]), i, draw.randrange(-90, 90) / 3, draw.randrange(-30, 30) / 3, draw.choice([1, 2, 4]), draw.choice([1, 3])) for i in range(160)]
+    spots += [(5, 400 + i, 16.0 * (i % 2), 8.0 * (i % 3), 3, 3) for i in range(9)] + [(6, 500 + i, 1.0 + 50 * (i // 4), 1.0, 1 if i // 4 else 4, 1) for i in range(8)]
+    odd = [(k, 600 + i, x, y, 3, 3) for i, (k, x, y) in enumerate([(1, None, 1.0), (1, math.nan, 1.0), (5, math.inf, 0.0), (7, None, None)])]
+    df = spark.createDataFrame(spots + odd, "k long, i long, cx double, cy double, w long, h long")
+    if bounds:
+        monkeypatch.setattr(anchors, "WHOLE", bounds[0]), monkeypatch.setattr(anchors, "HELD", bounds[1])
+    group = f"anchors-{bounds}"
+    spark.sparkContext.setJobGroup(group, "")
+    got: dict = {}
+    for r in anchors.find_anchors(df, ["k"], "i", 8.0, 3.0, 3, 3, 0.5).orderBy("place").collect():
+        got.setdefault(r.k, []).append((r.cx, r.cy, r.area, r.members))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {k: peeled([(i, x, y, float(w * h)) for v, i, x, y, w, h in spots if v == k], 8, 3, 3, 3, 0.5) for k in (1, 2, 5, 6, None)}
+    assert got == want and len(want[6]) == 1
+    if not bounds:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 75  # medians by ranges took some fifty more
+
+
 def test_prototypes(spark):
     draw = random.Random(9)
     centres = [draw.getrandbits(40) for _ in range(5)]
