@@ -15,7 +15,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -181,7 +181,7 @@ class Codec:
         self.normalizer = self.whole.normalizer
         self.part = build(model)  # what it gets is normalised already, and a part's first blank stays
         self.part.normalizer = normalizers.Sequence([])
-        self.part.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self.part.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])  # markers stay: a part is compared as it is
         names = [p for p, _, _ in model.pieces]
         self.leads = np.array([p.startswith(SPACE) for p in names])  # pieces that begin with a marker, and those of markers alone
         self.blanks = np.array([bool(p) and not p.strip(SPACE) for p in names])
@@ -193,18 +193,24 @@ class Codec:
             return self.normalizer.normalize_str(text)
         return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
 
+    def parts(self, normalised: str) -> list[str]:
+        """What a normalised text is cut into. Where each marker has something behind it, a plain split finds the same as the expression."""
+        if normalised[:1] == SPACE and normalised[-1:] != SPACE and SPACE + SPACE not in normalised:
+            return [SPACE + x for x in normalised[1:].split(SPACE)]
+        return self.cut.findall(normalised)
+
     def run(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
         """(ids of all texts, how many each has, decoded texts)."""
         if self.cut is None:
             found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(found), np.int32), [len(x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
         normalised = [self.normalised(text) for text in texts]
-        rows = [self.cut.findall(text) for text in normalised]
-        distinct = set(chain.from_iterable(rows))
-        self._learn(distinct - self.ids.keys())
+        rows = [self.parts(text) for text in normalised]
+        distinct = dict.fromkeys(chain.from_iterable(rows))
+        self._learn([part for part in distinct if part not in self.ids])
         found, decoded = [], []
         for text, parts in zip(normalised, rows, strict=True):
-            found.append(b"".join([self.ids[part] for part in parts]))
+            found.append(b"".join(map(self.ids.__getitem__, parts)))
             plain = self.odd.keys().isdisjoint(parts)
             back = text.replace(SPACE, " ") if plain else "".join([self.odd[part] if part in self.odd else part.replace(SPACE, " ") for part in parts])
             decoded.append(back[1:] if self.model.dummy_prefix and back[:1] == " " else back)
@@ -215,26 +221,29 @@ class Codec:
                 self.ids.pop(part, None), self.odd.pop(part, None)
         return np.frombuffer(b"".join(found), np.int32), [len(x) // 4 for x in found], decoded
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         """Encode and decode new parts. Of BPE models, JOINED at a time: pieces don't go over their markers, so ids can be told apart again.
 
         A unigram path's score is a sum over all that is joined, and rounding it could decide between equal paths by
         what stands beside a part; those parts are encoded alone.
         """
-        new, size = sorted(parts), JOINED if self.model.kind == BPE else 1
+        new, size = [p for p in parts if p[0] != SPACE] + [p for p in parts if p[0] == SPACE], JOINED if self.model.kind == BPE else 1
         groups = [new[i : i + size] for i in range(0, len(new), size)]
-        encoded = [np.array(e.ids, np.int32) for e in self.part.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+        joined = ["".join(g) for g in groups]
+        encoded = [e.ids for e in self.part.encode_batch_fast(joined, add_special_tokens=False)]
         back = self.part.decode_batch(encoded, skip_special_tokens=False)
-        for group, ids, text in zip(groups, encoded, back, strict=True):
-            begins = self.leads[ids]
-            begins[1:] &= ~self.blanks[ids[:-1]]
-            found = np.split(ids, np.flatnonzero(begins)[1:]) if len(ids) else []
+        for group, given, ids, text in zip(groups, joined, encoded, back, strict=True):
+            flat = np.array(ids, np.int32)
+            begins = self.leads[flat]
+            begins[1:] &= ~self.blanks[flat[:-1]]
+            ends, packed = [*(np.flatnonzero(begins) * 4).tolist(), len(flat) * 4], flat.tobytes()
+            found = [packed[i:j] for i, j in pairwise(ends)]
             if len(found) != len(group):  # a text that begins without a marker is alone in its lead
-                found = [np.array(e.ids, np.int32) for e in self.part.encode_batch_fast(group, add_special_tokens=False)]
-            self.ids.update(zip(group, [x.tobytes() for x in found], strict=True))
-            if text != "".join(group).replace(SPACE, " "):
-                given = zip(group, self.part.decode_batch(found, skip_special_tokens=False), strict=True)
-                self.odd.update((p, x) for p, x in given if x != p.replace(SPACE, " "))
+                found = [np.array(e.ids, np.int32).tobytes() for e in self.part.encode_batch_fast(group, add_special_tokens=False)]
+            self.ids.update(zip(group, found, strict=True))
+            if text != given:
+                alone = self.part.decode_batch([np.frombuffer(x, np.int32) for x in found], skip_special_tokens=False)
+                self.odd.update((p, x.replace(SPACE, " ")) for p, x in zip(group, alone, strict=True) if x != p)
 
 
 _loaded: dict[str, tuple] = {}
@@ -268,14 +277,14 @@ def codec(text: Column, path: str) -> Column:
         ends = np.cumsum([0, *sizes], dtype=np.int32)
         parity = np.zeros(len(given), bool)
         # one buffer of the reference's ids for the whole batch, compared row by row
-        theirs = reference.encode(given, num_threads=THREADS)
+        theirs = reference.encode(given, out_type="numpy", num_threads=THREADS)
         lengths = np.array([len(x) for x in theirs], np.int64)
         same = np.flatnonzero(lengths == np.diff(ends))
-        if len(same) == len(given) and np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int32, len(ids)), ids):
+        if len(same) == len(given) and np.array_equal(np.concatenate([*theirs, ids[:0]]), ids):
             parity[:] = True
         else:
             for i in same:
-                parity[i] = np.array_equal(ids[ends[i] : ends[i + 1]], np.array(theirs[i], np.int32))
+                parity[i] = np.array_equal(ids[ends[i] : ends[i + 1]], theirs[i])
         decoded = np.array([x == y for x, y in zip(given, back, strict=True)], bool)
         offsets = pa.array(ends, pa.int32(), mask=np.append(gone, False))
         columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, mask=gone), pa.array(parity, mask=gone)]

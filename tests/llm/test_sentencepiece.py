@@ -93,6 +93,24 @@ def test_parts_give_what_whole_texts_give():
     assert sizes == list(map(len, whole)) and all(len(p) <= codec.HELD_CHARS for p in own.ids)
 
 
+def test_a_batch_does_not_walk_over_held_parts():
+    """A batch's work is that of its own parts, however many the worker holds; plain splits cut as the expression does."""
+
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("walks over all held parts")
+
+        __iter__ = items = values = keys
+
+    for data in (Path(codec.default_model()).read_bytes(), unigram(squeeze=False)):
+        own, want = codec.Codec(codec.parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+        own.ids = Held()
+        for given in (texts("@"), [*texts("xé"), "▁a", "a▁▁b▁", "漢 漢字 a"], ["bed the"]):
+            flat, _, _ = own.run(given)
+            assert list(flat) == [i for text in given for i in want.encode(text)]
+            assert all(own.parts(t) == own.cut.findall(t) for t in map(own.normalised, given))
+
+
 def test_a_model_without_unknown_piece_is_refused():
     model = pb.ModelProto()
     model.pieces.add(piece="a", score=-1.0, type=1)
