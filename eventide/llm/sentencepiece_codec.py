@@ -4,9 +4,10 @@ The model's protobuf is parsed here (wire format, a few fields) and rebuilt as
 a tokenizers pipeline: normaliser, metaspace marker, unigram scores or BPE
 merges in score order, byte fallback, atomic user-defined pieces. Texts are cut
 before their markers where no piece goes over such a cut; a batch's distinct
-parts are encoded and decoded by that library's threads, and a worker keeps the
-parts it has met. The reference library encodes every whole text; its ids and
-the round trip are held against the result.
+parts are encoded and decoded by that library, and a worker keeps the parts it
+has met lately. The reference library encodes every whole text; its ids and the
+round trip are held against the result. Neither starts threads of its own:
+Spark gives each core a task, so threads only add their own cost.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,8 @@ from .common import bounded_batches, unused
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Threads of a task's encoder.
-THREADS = 2
-#: Parts of texts that a worker keeps encoded, and the longest that it keeps.
-HELD_PARTS, HELD_CHARS = 200_000, 64
+#: Parts of texts that a worker keeps encoded, in two generations, and the longest that it keeps.
+HELD_PARTS, HELD_CHARS = 800_000, 64
 #: New parts of a BPE model that are encoded in one go.
 JOINED = 256
 
@@ -174,19 +174,21 @@ class Codec:
     """Encoder and decoder of one model: whole texts, or the parts that a text is cut into."""
 
     def __init__(self, model: Model):
-        from tokenizers import decoders, normalizers
+        from tokenizers import Tokenizer, decoders, normalizers
 
         self.model, self.cut = model, model.parts
         self.whole = build(model)
         self.normalizer = self.whole.normalizer
-        self.part = build(model)  # what it gets is normalised already, and a part's first blank stays
+        self.part = Tokenizer(self.whole.model)  # what it gets is normalised already, and a part's first blank stays
+        self.part.add_tokens([token for _, token in sorted(self.whole.get_added_tokens_decoder().items())])
         self.part.normalizer = normalizers.Sequence([])
         self.part.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])  # markers stay: a part is compared as it is
         names = [p for p, _, _ in model.pieces]
         self.leads = np.array([p.startswith(SPACE) for p in names])  # pieces that begin with a marker, and those of markers alone
         self.blanks = np.array([bool(p) and not p.strip(SPACE) for p in names])
-        self.ids: dict[str, bytes] = {}  # of a part, as bytes of int32
-        self.odd: dict[str, str] = {}  # what parts decode to that don't decode to themselves
+        self.ids: dict[str, bytes] = {}  # of a part by its word (see words), as bytes of int32
+        self.older: dict[str, bytes] = {}  # those of the generation before, until they are met again
+        self.odd: dict[str, str] = {}  # what parts decode to that don't decode to themselves, by word
 
     def normalised(self, text: str) -> str:
         if not text or self.model.charsmap or self.model.squeeze:
@@ -195,9 +197,18 @@ class Codec:
 
     def parts(self, normalised: str) -> list[str]:
         """What a normalised text is cut into. Where each marker has something behind it, a plain split finds the same as the expression."""
-        if normalised[:1] == SPACE and normalised[-1:] != SPACE and SPACE + SPACE not in normalised:
-            return [SPACE + x for x in normalised[1:].split(SPACE)]
-        return self.cut.findall(normalised)
+        return [SPACE + x for x in normalised[1:].split(SPACE)] if _plain(normalised) else self.cut.findall(normalised)
+
+    def words(self, normalised: list[str]) -> pa.ListArray:
+        """The parts of each text without the marker that they begin with; one that has none gets a blank, which no normalised text holds."""
+        plain = np.array(list(map(_plain, normalised)), bool)
+        kind = pa.large_string()
+        split = pc.split_pattern(pa.array([x[1:].replace(SPACE, " ") for x, y in zip(normalised, plain, strict=True) if y], kind), " ")
+        if plain.all():
+            return split
+        other = [[x[1:] if x[0] == SPACE else " " + x for x in self.parts(text)] for text, y in zip(normalised, plain, strict=True) if not y]
+        rows = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        return pa.concat_arrays([split, pa.array(other, split.type)]).take(pa.array(rows))
 
     def run(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str]]:
         """(ids of all texts, how many each has, decoded texts)."""
@@ -205,31 +216,44 @@ class Codec:
             found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(found), np.int32), [len(x) for x in found], self.whole.decode_batch(found, skip_special_tokens=False)
         normalised = [self.normalised(text) for text in texts]
-        rows = [self.parts(text) for text in normalised]
-        distinct = dict.fromkeys(chain.from_iterable(rows))
-        self._learn([part for part in distinct if part not in self.ids])
-        found, decoded = [], []
-        for text, parts in zip(normalised, rows, strict=True):
-            found.append(b"".join(map(self.ids.__getitem__, parts)))
-            plain = self.odd.keys().isdisjoint(parts)
-            back = text.replace(SPACE, " ") if plain else "".join([self.odd[part] if part in self.odd else part.replace(SPACE, " ") for part in parts])
+        rows = self.words(normalised)
+        coded = rows.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
+        found = list(map(self.ids.get, words))
+        new = [word for word, x in zip(words, found, strict=True) if x is None]
+        again = {word: x for word, x in zip(new, map(self.older.get, new), strict=True) if x is not None}
+        self.ids.update(again)
+        self._learn([word for word in new if word not in again])
+        packed = pa.array([self.ids[word] if x is None else x for word, x in zip(words, found, strict=True)], pa.large_binary()).take(codes)
+        bounds = np.append(0, np.cumsum(rows.value_lengths().to_numpy()))  # of the rows in words, and below in bytes
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[: len(packed) + 1]
+        ids = np.frombuffer(packed.buffers()[2] or b"", np.int32)[: ends[-1] // 4]
+        odd = np.array([word in self.odd for word in words], bool)[codes.to_numpy()] if self.odd else np.zeros(len(codes), bool)
+        decoded = []
+        for text, i, j in zip(normalised, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            back = text.replace(SPACE, " ")
+            if odd[i:j].any():
+                row = [words[code] for code in codes[i:j].to_numpy().tolist()]
+                back = "".join([self.odd[word] if word in self.odd else _part(word).replace(SPACE, " ") for word in row])
             decoded.append(back[1:] if self.model.dummy_prefix and back[:1] == " " else back)
-        if len(self.ids) > HELD_PARTS:
-            self.ids, self.odd = {}, {}
-        for part in distinct:
-            if len(part) > HELD_CHARS:
-                self.ids.pop(part, None), self.odd.pop(part, None)
-        return np.frombuffer(b"".join(found), np.int32), [len(x) // 4 for x in found], decoded
-
-    def _learn(self, parts: list[str]) -> None:
+        for word in new:
+            if len(word) >= HELD_CHARS:
+                self.ids.pop(word), self.odd.pop(word, None)
+        if len(self.ids) > HELD_PARTS // 2:
+            self.ids, self.older = {}, self.ids
+            self.odd = {word: x for word, x in self.odd.items() if word in self.older}
+        return ids, (np.diff(ends[bounds]) // 4).tolist(), decoded
+
+    def _learn(self, words: list[str]) -> None:
         """Encode and decode new parts. Of BPE models, JOINED at a time: pieces don't go over their markers, so ids can be told apart again.
 
         A unigram path's score is a sum over all that is joined, and rounding it could decide between equal paths by
         what stands beside a part; those parts are encoded alone.
         """
-        new, size = [p for p in parts if p[0] != SPACE] + [p for p in parts if p[0] == SPACE], JOINED if self.model.kind == BPE else 1
+        bare, size = [w for w in words if w[:1] == " "], JOINED if self.model.kind == BPE else 1
+        new = [*bare, *(w for w in words if w[:1] != " ")] if bare else words
         groups = [new[i : i + size] for i in range(0, len(new), size)]
-        joined = ["".join(g) for g in groups]
+        joined = ["".join(map(_part, g)) if g[0][:1] == " " else SPACE + SPACE.join(g) for g in groups]
         encoded = [e.ids for e in self.part.encode_batch_fast(joined, add_special_tokens=False)]
         back = self.part.decode_batch(encoded, skip_special_tokens=False)
         for group, given, ids, text in zip(groups, joined, encoded, back, strict=True):
@@ -239,11 +263,19 @@ class Codec:
             ends, packed = [*(np.flatnonzero(begins) * 4).tolist(), len(flat) * 4], flat.tobytes()
             found = [packed[i:j] for i, j in pairwise(ends)]
             if len(found) != len(group):  # a text that begins without a marker is alone in its lead
-                found = [np.array(e.ids, np.int32).tobytes() for e in self.part.encode_batch_fast(group, add_special_tokens=False)]
+                found = [np.array(e.ids, np.int32).tobytes() for e in self.part.encode_batch_fast(list(map(_part, group)), add_special_tokens=False)]
             self.ids.update(zip(group, found, strict=True))
             if text != given:
                 alone = self.part.decode_batch([np.frombuffer(x, np.int32) for x in found], skip_special_tokens=False)
-                self.odd.update((p, x.replace(SPACE, " ")) for p, x in zip(group, alone, strict=True) if x != p)
+                self.odd.update((w, x.replace(SPACE, " ")) for w, x in zip(group, alone, strict=True) if x != _part(w))
+
+
+def _plain(normalised: str) -> bool:
+    return normalised[:1] == SPACE and normalised[-1:] != SPACE and SPACE + SPACE not in normalised
+
+
+def _part(word: str) -> str:
+    return word[1:] if word[:1] == " " else SPACE + word
 
 
 _loaded: dict[str, tuple] = {}
@@ -254,8 +286,7 @@ def load(path: str) -> tuple:
     if path not in _loaded:
         import sentencepiece
 
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, "rb") as f:
             data = f.read()
         _loaded[path] = Codec(parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -270,14 +301,14 @@ def codec(text: Column, path: str) -> Column:
 
     @F.arrow_udf("struct<ids: array<int>, decoded: boolean, parity: boolean>")
     def run(texts: pa.Array) -> pa.Array:
-        gone = np.asarray(texts.is_null())
-        given = ["" if x is None else x for x in texts.to_pylist()]
+        coded = texts.dictionary_encode()  # rows of the same text share its result
+        given = coded.dictionary.to_pylist()
         own, reference = load(path)
         ids, sizes, back = own.run(given)
         ends = np.cumsum([0, *sizes], dtype=np.int32)
         parity = np.zeros(len(given), bool)
         # one buffer of the reference's ids for the whole batch, compared row by row
-        theirs = reference.encode(given, out_type="numpy", num_threads=THREADS)
+        theirs = [reference.encode(x, out_type="numpy") for x in given]
         lengths = np.array([len(x) for x in theirs], np.int64)
         same = np.flatnonzero(lengths == np.diff(ends))
         if len(same) == len(given) and np.array_equal(np.concatenate([*theirs, ids[:0]]), ids):
@@ -286,9 +317,8 @@ def codec(text: Column, path: str) -> Column:
             for i in same:
                 parity[i] = np.array_equal(ids[ends[i] : ends[i + 1]], theirs[i])
         decoded = np.array([x == y for x, y in zip(given, back, strict=True)], bool)
-        offsets = pa.array(ends, pa.int32(), mask=np.append(gone, False))
-        columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, mask=gone), pa.array(parity, mask=gone)]
-        return pa.StructArray.from_arrays(columns, fields=list(CODEC))
+        columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())), pa.array(decoded), pa.array(parity)]
+        return pa.StructArray.from_arrays(columns, fields=list(CODEC)).take(coded.indices)  # a null text has a null index and so a null result
 
     return run(text)
 
@@ -301,7 +331,7 @@ def tokenize(docs: DataFrame, text_col: str = "text", path: str | None = None) -
     so don't decode to themselves: decoded is false then. Whole texts are
     encoded, whatever their length; every row goes through both libraries.
     """
-    bounded_batches(docs.sparkSession, rows=128, mb=1)
+    bounded_batches(docs.sparkSession, rows=512, mb=1)
     inner = unused(docs, "_codec")
     out = docs.withColumn(inner, codec(F.col(text_col), path or default_model()))
     new = ("ids", "n_tokens", "decoded", "parity")

@@ -111,6 +111,62 @@ def test_a_batch_does_not_walk_over_held_parts():
             assert all(own.parts(t) == own.cut.findall(t) for t in map(own.normalised, given))
 
 
+def test_a_part_is_looked_up_once_a_batch():
+    """However often a batch repeats its parts, the worker's held ones are asked a few times for each distinct part."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *given):
+            Counted.asked += 1
+            return super().get(*given)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    data = unigram()
+    own, want = codec.Codec(codec.parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    own.ids = Counted()
+    given = ["abc bed " * 700, " bed  the " * 300, "the" + " bed" * 500] * 5
+    flat, _, _ = own.run(given)
+    assert list(flat) == [i for text in given for i in want.encode(text)]
+    assert Counted.asked < 200
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_parts_that_are_met_again_stay_held(monkeypatch, byte_fallback):
+    """A full generation of parts makes room, but those met since stay, with what they decode to."""
+    monkeypatch.setattr(codec, "HELD_PARTS", 40)
+    data = unigram(byte_fallback=byte_fallback, squeeze=False)
+    own, want = codec.Codec(codec.parse(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    learnt, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda parts: (learnt.extend(parts), learn(parts)))
+    draw = random.Random(10)
+    for _ in range(60):
+        given = ["bed ace ☃é", "cafe " + " ".join("".join(draw.choice(LETTERS) for _ in range(6)) for _ in range(10)), " bed  ☃é "]
+        flat, _, decoded = own.run(given)
+        assert list(flat) == [i for text in given for i in want.encode(text)]
+        assert (decoded == given) == byte_fallback and decoded[1] == given[1]
+        assert len(own.ids) + len(own.older) <= 40 + 2 * 20 and len(own.odd) <= 4
+    assert sum(part.strip("▁") == "bed" for part in learnt) == 2
+
+
+def test_rows_of_one_text_share_its_result(spark):
+    """Copies side by side, which a batch encodes once, and nulls each get their own row."""
+    docs = spark.range(400).select("id", F.concat(F.lit("same text "), (F.col("id") % 4).cast("string")).alias("text"))
+    docs = docs.union(spark.range(400, 410).select("id", F.lit(None).cast("string")))
+    got = codec.tokenize(docs).groupBy("text", "ids", "n_tokens", "decoded", "parity").count().collect()
+    own, _ = codec.load(codec.default_model())
+    want = {f"same text {i}": own.whole.encode(f"same text {i}", add_special_tokens=False).ids for i in range(4)} | {None: None}
+    assert {r.text: r.ids for r in got} == want and sorted(r["count"] for r in got) == [10, 100, 100, 100, 100]
+    assert all(r.n_tokens == len(r.ids or ()) and r.decoded is r.parity is (None if r.text is None else True) for r in got)
+
+
 def test_a_model_without_unknown_piece_is_refused():
     model = pb.ModelProto()
     model.pieces.add(piece="a", score=-1.0, type=1)
